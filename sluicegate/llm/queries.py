@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluicegate.llm import packing, tokens
+from sluicegate.llm import packing, secrets, sharding, tokens
 from sluicegate.llm.common import read
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions, ledger = secrets.scan(read(spark, sf_dir, "documents"))
+    found = secrets.by_path(versions, ledger)
+    base = [r.kind for r in secrets.RULES[:3]]
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(base)]
+    joined = secrets.span_text(F.col("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -19,8 +29,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(read(spark, sf_dir, "documents"), n_shards=8, keep=[])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_byte_bpe)}
+    return {f.__name__: f for f in (op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
