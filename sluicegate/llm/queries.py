@@ -8,8 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import packing, secrets, sharding, tokens
-from sluicegate.llm.common import read
+from sluicegate.llm import language, packing, secrets, sharding, tokens, toxicity
+from sluicegate.llm.common import fold, read
+
+
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs, train_rows=fold("doc_id", 4) != 2)
+    return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +40,14 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train_rows=fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards)}
+    return {f.__name__: f for f in (op1_ppm_language, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op10_kneser_ney_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
