@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import language, packing, secrets, sharding, tokens, toxicity
+from sluicegate.llm import dimscan, language, mtree, packing, secrets, sharding, tokens, toxicity
 from sluicegate.llm.common import fold, read
 
 
@@ -18,6 +18,12 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return mtree.top_k(rows.select("vec_id", whole.alias("embedding")), k=5, every=50)
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions, ledger = secrets.scan(read(spark, sf_dir, "documents"))
     found = secrets.by_path(versions, ledger)
@@ -40,6 +46,10 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimscan.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train_rows=fold("doc_id", 5) != 0)
@@ -47,7 +57,7 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_language, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op10_kneser_ney_toxicity)}
+    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op10_kneser_ney_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
