@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that Python code works on at a time; longer texts are cut inside the operators.
 CHUNK_BYTES = 1 << 20
@@ -42,6 +45,27 @@ def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str], fields: str, function) -> DataFrame:
+    """``id_col``, the kept columns and ``fields`` (DDL) of each row, from Arrow batches.
+
+    function: makes the arrays of ``fields`` for each batch's texts; it is called
+    once per task, with an iterator of columns.  Kept columns go by position, so
+    no name can clash inside; a kept column that has a field's name is dropped.
+    """
+    added = StructType.fromDDL(fields)
+    keep = [c for c in keep if c not in {id_col, *added.names}]
+    source = df.select(F.col(text_col).alias("t"), F.col(id_col).alias("i"), *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)))
+    schema = StructType([*source.schema.fields[1:], *added.fields])
+
+    def run(batches):
+        first, second = itertools.tee(batches)  # in step: the function takes one batch for each one given
+        for b, arrays in zip(first, function(x.column(0) for x in second), strict=False):
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], schema.names)
+
+    out = source.mapInArrow(run, schema)
+    return out.toDF(id_col, *keep, *added.names)
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids fall into fold 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.llm import ngrams
+from sluicegate.llm.common import map_texts
 from sluicegate.llm.sample import bounded_sample
 
 #: Bytes of the longest gram: a context of one less.
@@ -62,21 +63,18 @@ def train(texts_by_language: dict[str, list[str]], order: int = ORDER) -> tuple[
     return names, table
 
 
-def identify(df: DataFrame, model: tuple[list[str], ngrams.Table], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``lang_pred``, ``score`` and ``bits`` (code length under ``lang_pred``) of each row.
+def identify(df: DataFrame, model: tuple[list[str], ngrams.Table], id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
+    """``id_col``, kept columns, ``lang_pred``, ``score`` and ``bits`` (code length under ``lang_pred``) of each row.
 
     score: the winner's share of 2 ** -length over all languages.  Text that is
     null or has no letter: ``und``, score 0, bits null.  Ties go to the first
     language by name.  Letters are lowered; texts count whole.
     """
-    kind = df.schema[id_col].dataType
-    names, table = model
-    held = df.sparkSession.sparkContext.broadcast((names, table))
+    held = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(columns):
         names, table = held.value
-        for b in batches:
-            text = b.column(1)
+        for text in columns:
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist()
             pred, score, bits = [], [], []
             rows = ngrams.score(table, ((x.as_py() or "").lower().encode() if ok else b"" for x, ok in zip(text, letters, strict=True)), words=False)
@@ -88,9 +86,9 @@ def identify(df: DataFrame, model: tuple[list[str], ngrams.Table], id_col: str =
                 pred.append(names[best])
                 score.append(float(1 / np.exp2(np.maximum((row[best] - row) / ngrams.UNIT, -1000)).sum()))
                 bits.append(float(row[best] / ngrams.UNIT))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["id", "lang_pred", "score", "bits"])
+            yield [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
+    return map_texts(df, id_col, text_col, list(keep), "lang_pred string, score double, bits double", run)
 
 
 def fit(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = ROWS_PER_LANGUAGE):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import dimscan, jaccard, language, mtree, packing, secrets, sharding, tokens, toxicity
+from sluicegate.llm import dimscan, jaccard, language, mtree, packing, quotes, secrets, sharding, tokens, toxicity
 from sluicegate.llm.common import fold, read
 
 
@@ -50,6 +50,10 @@ def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimscan.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(read(spark, sf_dir, "conversations"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), n=5, percent=80)
 
@@ -61,7 +65,7 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op9_ngram_jaccard, op10_kneser_ney_toxicity)}
+    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op8_quotation_linking, op9_ngram_jaccard, op10_kneser_ney_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
