@@ -7,8 +7,8 @@ frequent, by hash.  These prefixes are the index: lists of (node, size,
 position).  Lists are read so that pairs whose sizes or positions exclude a link
 are skipped.  Answers are derived from those of similar sets twice: a list's
 members are first compared with one leader each, and lists whose members all
-turn out connected need no further pairs; for the rest, the leaders' distances
-and the triangle inequality exclude pairs of members.  No list is ever gathered
+turn out connected need no further pairs; for the rest, distances to the same
+leader and the triangle inequality exclude pairs of members.  No list is ever gathered
 in one task or expanded into all its pairs while its members are connected.
 """
 
@@ -27,9 +27,16 @@ from sluicegate.llm.common import CHUNK_BYTES, as_table, drop_tables
 FREQUENT_SAMPLE = 32
 #: Frequent n-grams that are told apart (8 bytes each are broadcast): a better order, never another result.
 FREQUENT_MOST = 1 << 18
+#: Prefixes are longer than needed by one in so many members, and links share as many more entries.
+SPARE = 20
+#: Rounds of comparing components with leaders before the rest is compared pair by pair.
+ROUNDS = 4
+#: Bits of the filter of wanted ids, as a power of two.
+BLOOM_BITS = 24
 #: Index entries that a bucket holds, about; and those that a task holds before it hands them on.
 BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 1_000_000
 
+PROBE = False
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RANDOM = np.random.Generator(np.random.PCG64(23))
 _FACTORS = [_RANDOM.integers(0, 2**64, 1 << 10, np.uint64) | np.uint64(1)]
@@ -147,16 +154,47 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return top.column("h").to_numpy().view(np.uint64), total * FREQUENT_SAMPLE
 
 
-def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of two kinds: each document's node and size; blobs of index entries by bucket.
+def prefix_length(size, percent: int):
+    """Members of the prefix: similar sets share at least ``1 + size // SPARE`` of both prefixes."""
+    return size - least_overlap(size, percent) + 1 + size // SPARE
 
-    A task gives a node's entries once, however many copies it reads.
-    """
-    order = np.argsort(frequent)
-    known, rank = frequent[order], order.astype(np.int64)
-    held = docs.sparkSession.sparkContext.broadcast((known, rank))
+
+def prefix_length_column(size, percent: int):
+    return F.least(size, size - F.floor((percent * size + 99) / 100) + 1 + F.floor(size / SPARE))
+
+
+def _nodes(docs: DataFrame, n: int) -> DataFrame:
+    """Each row's id, node (null: empty set) and size of set."""
     kind = docs.schema["id"].dataType
-    names = ["id", "node", "n", "bucket", "entries"]
+
+    def run(batches):
+        for b in batches:
+            sets = [(node_of(s) if len(s) else None, len(s)) for s in ngram_sets(_texts(b.column(1)), n)]
+            node, size = zip(*sets, strict=True) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32())], ["id", "node", "n"])
+
+    return as_table(docs.mapInArrow(run, f"id {kind.simpleString()}, node long, n int"))
+
+
+#: How entries are laid out in a blob, column by column: 48 bits of the hash (more only decide candidates), node, size, position.
+_COLUMNS = (("h", 6), ("node", 8), ("n", 4), ("pos", 2))
+
+
+def _to_blob(h, node, many, pos) -> bytes:
+    return b"".join((np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), node.astype("<i8").tobytes(), many.astype("<i4").tobytes(), np.minimum(pos, 65535).astype("<u2").tobytes()))
+
+
+def _from_blob(blob: bytes) -> tuple[np.ndarray, ...]:
+    count = len(blob) // sum(w for _, w in _COLUMNS)
+    h = np.zeros((count, 8), np.uint8)
+    h[:, :6] = np.frombuffer(blob, np.uint8, 6 * count).reshape(-1, 6)
+    return h.view("<i8")[:, 0], np.frombuffer(blob, "<i8", count, 6 * count), np.frombuffer(blob, "<i4", count, 14 * count), np.frombuffer(blob, "<u2", count, 18 * count).astype(np.int32)
+
+
+def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Blobs of index entries by bucket; a task gives a node's entries once, however many copies it reads."""
+    order = np.argsort(frequent)
+    held = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
 
     def run(batches):
         known, rank = held.value
@@ -172,78 +210,105 @@ def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets:
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 bucket[known[at] == h] = -1  # lists of any length, which no task gathers
-            row = np.empty(len(h), [("h", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-            row["h"], row["node"], row["n"], row["pos"] = h, node, many, pos
             by = np.argsort(bucket, kind="stable")
-            row, bucket = row[by], bucket[by]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            blobs = [x.tobytes() for x in np.split(row, cut)]
-            which = bucket[np.concatenate([[0], cut])]
+            cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-9)), len(by))
+            blobs = [_to_blob(h[i], node[i], many[i], pos[i]) for i in np.split(by, cut[1:-1])]
             waiting.clear()
-            nothing = pa.nulls(len(blobs))
-            return pa.RecordBatch.from_arrays([nothing.cast(id_type), nothing.cast(pa.int64()), nothing.cast(pa.int32()), pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[by][cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
         for b in batches:
-            id_type = b.column(0).type
-            nodes, sizes = [], []
-            for s in ngram_sets(_texts(b.column(1)), n):
-                node = node_of(s) if len(s) else None
-                nodes.append(node)
-                sizes.append(len(s))
-                if node is None or node in seen:
+            for s in ngram_sets(_texts(b.column(0)), n):
+                if not len(s) or (node := node_of(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()  # copies give their entries again then; the bucket drops them
                 seen.add(node)
-                first = len(s) - least_overlap(len(s), percent) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     level = np.where(known[at] == s, rank[at], -1)
                     if (level >= 0).any():
-                        s = s[np.argsort(level, kind="stable")]
+                        order = np.argsort(level, kind="stable")
+                        s = s[order]
+                first = min(len(s), prefix_length(len(s), percent))
                 waiting.append((s[:first], node, len(s)))
                 count += first
                 if count >= HELD_ENTRIES:
                     yield entries()
                     count = 0
-            nothing = pa.nulls(len(nodes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         if waiting:
             yield entries()
 
-    return as_table(docs.mapInArrow(run, f"id {kind.simpleString()}, node long, n int, bucket int, entries binary"))
-
-
-_ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-
-
-def _entry_batch(row: np.ndarray) -> dict:
-    return {"h": pa.array(np.ascontiguousarray(row["h"]).view(np.int64)), **{k: pa.array(np.ascontiguousarray(row[k])) for k in ("node", "n", "pos")}}
+    return docs.select("text").mapInArrow(run, "bucket int, entries binary")
 
 
 def _lists(index: DataFrame) -> DataFrame:
     """Entries of all lists with two nodes or more."""
     schema = "h long, node long, n int, pos int"
+    names = ["h", "node", "n", "pos"]
 
     def shared(table: pa.Table) -> pa.Table:
-        row = np.concatenate([np.frombuffer(x.as_py(), _ENTRY) for x in table.column("entries")])
-        row = row[np.lexsort((row["node"], row["h"]))]
-        new = np.append(True, (row["h"][1:] != row["h"][:-1]) | (row["node"][1:] != row["node"][:-1]))
-        row = row[new]
-        same = row["h"][1:] == row["h"][:-1]
-        return pa.table(_entry_batch(row[np.append(same, False) | np.append(False, same)]))
+        parts = zip(*(_from_blob(x.as_py()) for x in table.column("entries")), strict=True)
+        h, node, many, pos = (np.concatenate(p) for p in parts)
+        order = np.lexsort((node, h))
+        h, node, many, pos = h[order], node[order], many[order], pos[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+        h, node, many, pos = h[new], node[new], many[new], pos[new]
+        same = h[1:] == h[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        return pa.table([h[keep], node[keep], many[keep], pos[keep]], names=names)
 
     def unpack(batches):
         for b in batches:
             for x in b.column(0):
-                yield pa.RecordBatch.from_pydict(_entry_batch(np.frombuffer(x.as_py(), _ENTRY)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _from_blob(x.as_py())], names)
 
-    blobs = index.where("bucket is not null")
-    few = blobs.where("bucket >= 0").select("bucket", "entries").groupBy("bucket").applyInArrow(shared, schema)
-    many = blobs.where("bucket < 0").select("entries").mapInArrow(unpack, schema)
+    few = index.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, schema)
+    many = index.where("bucket < 0").select("entries").mapInArrow(unpack, schema)
     return as_table(few.union(many.dropDuplicates(["h", "node"])))
 
 
+def _wanted_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """``node``, ``text`` of the nodes in ``chosen`` (``node``, ``id``: the least id of the node).
+
+    A Bloom filter of ids, of fixed size, keeps most other texts from being
+    exchanged; what it lets through wrongly is dropped by the join.
+    """
+    bits = 1 << BLOOM_BITS
+
+    def marks(batches):
+        own = np.zeros(bits, bool)
+        for b in batches:
+            for k in _places(b.column(0).to_numpy(), bits):
+                own[k] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()])], ["bits"])
+
+    spread = F.xxhash64("id", F.lit(7))
+    parts = chosen.select(spread.alias("x")).repartition(8).mapInArrow(marks, "bits binary").collect()
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        whole |= np.frombuffer(r["bits"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def keyed(batches):
+        whole = held.value
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for k in _places(b.column(0).to_numpy(), bits):
+                ok &= (whole[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
+            text = b.column(1).filter(pa.array(ok))
+            nodes = [node_of(s) if len(s) else None for s in ngram_sets(_texts(text), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), text], ["node", "text"])
+
+    found = docs.select(spread.alias("x"), "text").mapInArrow(keyed, "node long, text string")
+    return as_table(found.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _places(x: np.ndarray, bits: int):
+    x = x.view(np.uint64)
+    for shift in (1, 33):
+        yield ((x >> np.uint64(shift)) % np.uint64(bits)).astype(np.int64)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """pairs (a, b) with ``both`` and ``either``, the sizes of intersection and union."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -300,60 +365,70 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     frequent, total = _frequent(docs, n)
-    buckets = int(min(1 << 16, max(64, total * (100 - percent) // 100 // BUCKET_ENTRIES)))
-    index = _index(docs, n, percent, frequent, buckets)
-    rows = index.where("bucket is null").select("id", "node", "n")
-    lists = _lists(index)
-
-    # one document of each node that stands in a list, with its text
-    within = lists.select("node").distinct()
-    chosen = as_table(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(within, "node"))
-    wanted = chosen.select(F.col("id").alias("want")).distinct()
-
-    def keyed(batches):
-        for b in batches:
-            nodes = [node_of(s) if len(s) else None for s in ngram_sets(_texts(b.column(0)), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column(0)], ["node", "text"])
-
-    found = docs.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(keyed, "node long, text string")
-    texts = as_table(found.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-
-    # each node with the leader (smallest set) of most of its lists
-    leader = lists.groupBy("h").agg(F.min(F.struct("n", "node")).alias("lead"))
-    stars = lists.join(leader, "h").where((F.col("node") != F.col("lead.node")) & (percent * F.col("n") <= 100 * F.col("lead.n")))
-    votes = stars.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
-    told = _verified(first, texts, n)
+    buckets = int(min(1 << 16, max(64, total * (100 - percent + 5) // 100 // BUCKET_ENTRIES)))
+    rows = _nodes(docs, n)
+    lists = _lists(_index(docs, n, percent, frequent, buckets))
+    of_node = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     linked = F.col("both") * 100 >= F.col("either") * percent
-    links = told.where(linked)
-    comps = components(links)
 
-    # lists that join different components: what their leaders' distances do not exclude
-    lead = told.where(linked).select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("either")).alias("far"))
-    placed = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # a node that links shares enough entries with one other, so it has as many: others leave their lists
+    for _ in range(2):
+        able = lists.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > F.floor(percent * F.col("n") / 100 / SPARE)).select("node")
+        lists = lists.join(able, "node", "left_semi")
+        lists = lists.join(lists.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
+    lists = as_table(lists)
+    texts = _wanted_texts(docs, as_table(of_node.join(lists.select("node").distinct(), "node", "left_semi")), n)
+
+    # rounds: of each component, the node with the most votes is compared with a leader of its lists;
+    # at first the leader is the set that shares most with others, as the origin of edited copies does
+    sizes = lists.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    central = lists.join(sizes, "h").groupBy("node", "n").agg(F.sum("m").alias("m")).select("node", (F.col("m") / F.col("n")).alias("weight"))
+    lists = as_table(lists.join(central, "node").select("h", "node", "n", "pos", "weight"))
+    told = df.sparkSession.createDataFrame([], "a long, b long, both int, either int")
+    comps = as_table(lists.select("node", F.col("node").alias("comp")).distinct())
+    for k in range(ROUNDS):
+        placed = lists.join(comps, "node")
+        place = F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k)).cast("double")
+        lead = placed.groupBy("h").agg(F.max(F.struct(place.alias("place"), "node", "n", "comp")).alias("lead"))
+        led = placed.join(lead, "h").where((F.col("comp") != F.col("lead.comp")) & (percent * F.greatest("n", "lead.n") <= 100 * F.least("n", "lead.n")))
+        votes = led.groupBy("comp", "node", F.col("lead.node").alias("leader"), F.least("n", "lead.n").alias("least")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") > F.floor(F.col("least") / SPARE))
+        votes = votes.join(told.select(F.col("a").alias("node"), F.col("b").alias("leader")), ["node", "leader"], "left_anti")
+        best = votes.groupBy("comp").agg(F.max(F.struct("votes", "node", "leader")).alias("v"))
+        tried = _verified(best.select(F.col("v.node").alias("a"), F.col("v.leader").alias("b")), texts, n)
+        count, hits = tried.agg(F.count(F.lit(1)), F.count_if(linked)).first()
+        if not count:
+            break
+        told = as_table(told.union(tried))
+        if hits:
+            comps = as_table(lists.select("node").distinct().join(components(told.where(linked)), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+        if hits < 0.1 * count:
+            break
+
+    # lists that join different components: what sizes, positions, shared entries and leaders do not exclude
+    sides = told.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("either")).alias("far"))
+    lead = sides.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("m")).select("node", F.col("m.leader").alias("leader"), F.col("m.far").alias("far"))
+    placed = lists.join(comps, "node").join(lead, "node", "left").select("h", "node", "n", "pos", "comp", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     rest = as_table(placed.join(mixed, "h", "left_semi"))
-    side = lambda s: rest.select("h", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "comp")))
-    possible = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    side = lambda s: rest.select("h", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "comp", "leader", "far")))
     cross = side("1").join(side("2"), "h").where(
         (F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2"))))
-        & (percent * F.col("n2") <= 100 * F.col("n1")) & (possible * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+        & (percent * F.col("n2") <= 100 * F.col("n1"))
+        # the first entry that a linked pair shares leaves enough of both sets behind it
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+        # distances to the same leader bound the distance between the two
+        & ((F.col("leader1") != F.col("leader2")) | (F.abs(F.col("far1") - F.col("far2")) <= 1 - percent / 100 + 1e-9))
     )
-    pairs = cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    pairs = as_table(pairs.join(told.select("a", "b"), ["a", "b"], "left_anti").join(told.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    for s in "ab":
-        pairs = pairs.join(lead.select(F.col("node").alias(s), F.col("leader").alias("l" + s), F.col("far").alias("f" + s)), s, "left")
-    pairs = as_table(pairs.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("fa", F.lit(0.0)).alias("fa"), F.coalesce("fb", F.lit(0.0)).alias("fb")))
-    heads = _verified(pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), texts, n)
-    answered = pairs.join(heads.select(F.col("a").alias("la"), F.col("b").alias("lb"), "both", "either"), ["la", "lb"], "left")
-    gap = F.coalesce(1 - F.col("both") / F.col("either"), F.lit(0.0)) - F.col("fa") - F.col("fb")
-    open_pairs = answered.where(((F.col("a") != F.col("la")) | (F.col("b") != F.col("lb"))) & (gap <= 1 - percent / 100 + 1e-9)).select("a", "b")
-    more = _verified(open_pairs, texts, n)
-    comps = components(links.select("a", "b").union(heads.where(linked).select("a", "b")).union(more.where(linked).select("a", "b")))
-
-    least = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    of_node = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_comp = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
-    names = as_table(of_node.join(of_comp, "comp").select("node", "component_id"))
+    found = cross.select("node1", "n1", "node2", "n2").distinct()
+    pairs = found.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    pairs = pairs.join(told.select("a", "b"), ["a", "b"], "left_anti").join(told.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    more = _verified(pairs, texts, n)
+    if PROBE:
+        print("lists", lists.count(), "texts", texts.count(), "told", told.count(), told.where(linked).count(), "rest", rest.count(), "cross", cross.count(), "pairs", found.count(), "more", more.count(), more.where(linked).count(), flush=True)
+    comps = components(told.where(linked).select("a", "b").union(more.where(linked).select("a", "b")))
+
+    owned = of_node.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_comp = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
+    names = as_table(owned.join(of_comp, "comp").select("node", "component_id"))
     out = rows.join(names, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

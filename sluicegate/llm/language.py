@@ -32,12 +32,7 @@ def train(texts_by_language: dict[str, list[str]], order: int = ORDER) -> tuple[
     names = sorted(texts_by_language)
     counts = {}
     for c, name in enumerate(names):
-        texts = [t.lower().encode() for t in texts_by_language[name]]
-        data, starts = ngrams.lay_out(texts, order) if texts else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
-        real = np.zeros(len(data), bool)
-        for s, t in zip(starts.tolist(), texts, strict=True):
-            real[s : s + len(t)] = True
-        counts[c] = np.unique(ngrams.gram_keys(data, order)[real], return_counts=True) if len(data) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counts[c] = ngrams.counted([t.lower().encode() for t in texts_by_language[name]], order, words=False)
     table = ngrams.Table(np.full(len(names), 8 * ngrams.UNIT, np.int32))
     for n in range(1, order + 1):
         grams, seen = [], []

@@ -162,3 +162,31 @@ def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def units(x: np.ndarray) -> np.ndarray:
     """Costs of probabilities."""
     return np.rint(-np.log2(x) * UNIT).astype(np.int32)
+
+
+def counted(texts: list[bytes], n: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts and how often each stands; blocks of texts bound the memory."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts, waiting, held, size = [], 0, [], 0
+
+    def block():
+        data, starts = lay_out(held, n)
+        grams = gram_keys(data, n)
+        if words:
+            grams = within_words(data, grams)
+        real = np.zeros(len(data), bool)
+        for s, t in zip(starts.tolist(), held, strict=True):
+            real[s : s + len(t)] = True
+        return np.unique(grams[real], return_counts=True)
+
+    for k, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= BLOCK or k == len(texts) - 1:
+            parts.append(block())
+            waiting += len(parts[-1][0])
+            held, size = [], 0
+        if parts and (waiting > 1 << 21 or k == len(texts) - 1):
+            keys, counts = grouped(np.concatenate([keys, *(p[0] for p in parts)]), np.concatenate([counts, *(p[1] for p in parts)]))
+            parts, waiting = [], 0
+    return keys, counts
