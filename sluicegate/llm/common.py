@@ -15,6 +15,15 @@ from pyspark.sql.types import StructType
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows and bytes of the batches that go to Python workers: small, since a batch of long texts stands in memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor shares.
 
@@ -30,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def as_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -52,6 +62,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str], fields
     once per task, with an iterator of columns.  Kept columns go by position, so
     no name can clash inside; a kept column that has a field's name is dropped.
     """
+    small_batches(df.sparkSession)
     added = StructType.fromDDL(fields)
     keep = [c for c in keep if c not in {id_col, *added.names}]
     source = df.select(F.col(text_col).alias("t"), F.col(id_col).alias("i"), *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)))
@@ -72,4 +83,5 @@ def fold(column: str, n: int) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
