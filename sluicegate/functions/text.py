@@ -64,13 +64,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _bind(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def unit_vector(v: Column) -> Column:
     """By the largest component, then by length: safe for very large and very small vectors. Null where invalid."""
     v = v.cast("array<double>")
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (top > 0)
-    scaled = F.transform(v, lambda x: x / top)
-    return F.when(fine, F.transform(scaled, lambda x: x / F.sqrt(dot(scaled, scaled))))
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    largest = F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    scaled = _bind(F.struct(v.alias("v"), largest.alias("m")), lambda s: F.transform(s["v"], lambda x: x / s["m"]))
+    unit = _bind(scaled, lambda w: _bind(F.struct(w.alias("w"), F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x)).alias("n")), lambda s: F.transform(s["w"], lambda x: x / s["n"])))
+    return F.when(fine, unit)
 
 
 def any_of(columns: list[Column]) -> Column:

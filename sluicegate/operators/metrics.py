@@ -7,6 +7,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 #: Fixed value: the 97.5 % point of the normal distribution.
@@ -98,7 +99,7 @@ def violations(metrics: DataFrame, thresholds: DataFrame, key: str = "split") ->
     return held.withColumn("violation", why).where("violation is not null").select(key, "metric", "value", "violation")
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def next_after(x: pa.Array) -> pa.Array:
     """The least double above each value."""
     return pa.array([None if v.as_py() is None else math.nextafter(v.as_py(), math.inf) for v in x], pa.float64())

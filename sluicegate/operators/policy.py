@@ -88,7 +88,7 @@ def decide(docs: DataFrame, findings: DataFrame, policy: Policy, related: bool =
         *(docs[c] for c in docs.columns), _name(final).alias("decision"), families.alias("families"),
         F.array_sort(F.array_except(families, F.coalesce("binding", none))).alias("advisory_families"),
         F.coalesce("incomplete_reasons", none).alias("incomplete_reasons"),
-        ~F.array_contains(families, "scan_incomplete").alias("scan_complete"), F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"),
+        (~F.array_contains(families, "scan_incomplete")).alias("scan_complete"), F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"),
     )
 
 

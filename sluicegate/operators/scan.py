@@ -57,6 +57,13 @@ def _composite(surfaces: Column, rule: R.Rule, base: R.Rule) -> Column:
     return F.coalesce(both(surfaces["canonical"]), F.lit(False)) | F.coalesce(both(surfaces["deobfuscated"]), F.lit(False))
 
 
+def _hit(k: int, kind: str, rule: R.Rule):
+    return lambda e: F.struct(
+        F.lit(k).alias("seq"), F.lit(kind).alias("finding_type"), F.lit(rule.family).alias("family"),
+        F.lit(rule.severity).alias("severity"), F.lit(rule.owasp).alias("owasp"), e.alias("evidence"),
+    )
+
+
 def rule_hits(raw: Column, surfaces: Column, chosen: list[R.Rule], cap: int = 1, origin: str | None = None) -> Column:
     """Array of (seq, finding_type, family, severity, owasp, evidence) of all rules, in one projection."""
     every = []
@@ -65,10 +72,7 @@ def rule_hits(raw: Column, surfaces: Column, chosen: list[R.Rule], cap: int = 1,
             kind, shown = "canonical_injection", F.when(_composite(surfaces, rule, R.BY_FAMILY["instruction_override"]), F.array(F.lit("override combined with an enumerated instruction"))).otherwise(F.array().cast("array<string>"))
         else:
             kind, shown = R.FINDING_TYPES[origin or rule.group], evidence(rule, raw, surfaces, cap)
-        every.append(F.transform(shown, lambda e, k=k, kind=kind, rule=rule: F.struct(
-            F.lit(k).alias("seq"), F.lit(kind).alias("finding_type"), F.lit(rule.family).alias("family"),
-            F.lit(rule.severity).alias("severity"), F.lit(rule.owasp).alias("owasp"), e.alias("evidence"),
-        )))
+        every.append(F.transform(shown, _hit(k, kind, rule)))
     return F.concat(*every)
 
 
@@ -109,7 +113,7 @@ def scan_documents(docs: DataFrame, *, injection: bool = True, metadata: bool =
         if any(r.group == R.INJECTION for r in body):
             hits = F.concat(_limit_hits(F.col("surfaces.reasons")), hits)
         parts.append(_long(seen, hits))
-    if metadata and "metadata" in docs.columns:
+    if metadata and "metadata" in docs.columns and any(r.group in (R.INJECTION, R.METADATA) for r in chosen):
         parts.append(scan_metadata(base, chosen, cap))
     if not parts:
         empty = base.withColumn("_none", F.array().cast("array<struct<seq:int,finding_type:string,family:string,severity:string,owasp:string,evidence:string>>"))

@@ -7,6 +7,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Metadata stays JSON text: it is dynamic and may hold numbers of any size.
 ENTRY = "id string, text string, metadata string, label string, category string, split string, notes string, source_id string, origin_id string, split_group string, _bad string"
@@ -95,7 +96,7 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("model", "defense", F.explode(fine).alias("r")).select("model", "defense", "r.*")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def strict_problem(lines: pa.Array) -> pa.Array:
     """Why a frame is not strict JSON (repeated keys, NaN, not an object), or null."""
 
