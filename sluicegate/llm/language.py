@@ -29,7 +29,9 @@ UNDETERMINED = "und"
 
 
 def train(texts_by_language: dict[str, list[str]], order: int = ORDER) -> tuple[list[str], ngrams.Table]:
-    names = sorted(texts_by_language)
+    names = sorted(k for k, texts in texts_by_language.items() if any(texts))
+    if not names:
+        return names, ngrams.Table(np.zeros(0, np.int32))
     counts = {}
     for c, name in enumerate(names):
         counts[c] = ngrams.counted([t.lower().encode() for t in texts_by_language[name]], order, words=False)
