@@ -25,7 +25,17 @@ def passages(text: Column) -> Column:
         F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 1), r"[^>]", "")).alias("level"),
         F.regexp_replace(x, _MARKS, "").alias("body"),
     ))
-    # a run ends where the level changes: its number is the count of changes so far
+    # without a quote mark the whole text is one passage
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n|\r", "\n").alias("body"))), _said)
+    return F.when(F.coalesce(text, F.lit("")).contains(">"), F.get(F.transform(F.array(parsed), _runs), 0)).otherwise(whole).cast(_PASSAGES)
+
+
+def _said(run: Column) -> Column:
+    return F.length(F.trim(F.regexp_replace(run["body"], r"\s+", " "))) > 0
+
+
+def _runs(parsed: Column) -> Column:
+    """Runs of parsed lines: a run ends where the level changes."""
     at = F.sequence(F.lit(0), F.size(parsed) - 1)
     starts = F.filter(at, lambda i: (i == 0) | (F.get(parsed, i)["level"] != F.get(parsed, i - 1)["level"]))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parsed)))
@@ -33,7 +43,7 @@ def passages(text: Column) -> Column:
         F.get(parsed, a)["level"].alias("level"),
         F.array_join(F.transform(F.slice(parsed, a + 1, b - a), lambda x: x["body"]), "\n").alias("body"),
     ))
-    return F.filter(runs, lambda r: F.length(F.trim(F.regexp_replace(r["body"], r"\s+", " "))) > 0).cast(_PASSAGES)
+    return F.filter(runs, _said)
 
 
 def passage_hash(body: Column) -> Column:
