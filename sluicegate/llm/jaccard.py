@@ -34,7 +34,7 @@ ROUNDS = 4
 #: Bits of the filter of wanted ids, as a power of two.
 BLOOM_BITS = 24
 #: Index entries that a bucket holds, about; and those that a task holds before it hands them on.
-BUCKET_ENTRIES, HELD_ENTRIES = 400_000, 1_000_000
+BUCKET_ENTRIES, HELD_ENTRIES = 200_000, 250_000
 
 PROBE = False
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

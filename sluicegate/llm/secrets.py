@@ -81,7 +81,7 @@ def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, 2**31 - 1)))
+    masked = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, masked).otherwise(text)
 
 
