@@ -45,9 +45,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.by_path(versions, ledger).where(F.size("spans") > 0).dropDuplicates(["id", "blob_id"])
     rows = docs.withColumn("_blob", secrets.blob_id(F.col("text")))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_blob") == F.col("blob_id")), "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    size = F.when(F.col("spans").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    hit = F.col("spans").isNotNull()
+    text = F.when(hit, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    masked = joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), hit.alias("_hit"))
+    size = F.when(F.col("_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return masked.select(*(size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
