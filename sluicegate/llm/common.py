@@ -16,10 +16,13 @@ CHUNK_BYTES = 1 << 20
 
 
 #: Rows and bytes of the batches that go to Python workers: small, since a batch of long texts stands in memory on both sides.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Bytes of a row group of intermediate tables: each running task holds one while it writes.
+GROUP_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("parquet.block.size", GROUP_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -65,13 +68,17 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str], fields
     small_batches(df.sparkSession)
     added = StructType.fromDDL(fields)
     keep = [c for c in keep if c not in {id_col, *added.names}]
-    source = df.select(F.col(text_col).alias("t"), F.col(id_col).alias("i"), *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)))
-    schema = StructType([*source.schema.fields[1:], *added.fields])
+    sent = [id_col, *keep]
+    if text_col not in sent:
+        sent.append(text_col)
+    source = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(sent)))
+    at, width = sent.index(text_col), 1 + len(keep)
+    schema = StructType([*source.schema.fields[:width], *added.fields])
 
     def run(batches):
         first, second = itertools.tee(batches)  # in step: the function takes one batch for each one given
-        for b, arrays in zip(first, function(x.column(0) for x in second), strict=False):
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], schema.names)
+        for b, arrays in zip(first, function(x.column(at) for x in second), strict=False):
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *arrays], schema.names)
 
     out = source.mapInArrow(run, schema)
     return out.toDF(id_col, *keep, *added.names)
