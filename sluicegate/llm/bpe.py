@@ -24,9 +24,9 @@ from sluicegate.llm.u64map import U64Map
 #: Longest piece that is merged in a matrix.
 MATRIX_BYTES = 96
 #: Distinct pieces that a worker remembers before it starts anew (a bound on memory, not on results).
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 #: Code points encoded at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import itertools
 import tempfile
 import uuid
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that Python code works on at a time; longer texts are cut inside the operators.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 #: Rows and bytes of the batches that go to Python workers: small, since a batch of long texts stands in memory on both sides.
@@ -58,6 +60,26 @@ def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system: workers outlive tasks, and idle ones wait beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def tidy(run):
+    """``run``, a function over batches, followed by ``give_back``."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str], fields: str, function) -> DataFrame:
     """``id_col``, the kept columns and ``fields`` (DDL) of each row, from Arrow batches.
 
@@ -75,6 +97,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str], fields
     at, width = sent.index(text_col), 1 + len(keep)
     schema = StructType([*source.schema.fields[:width], *added.fields])
 
+    @tidy
     def run(batches):
         first, second = itertools.tee(batches)  # in step: the function takes one batch for each one given
         for b, arrays in zip(first, function(x.column(at) for x in second), strict=False):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import CHUNK_BYTES, as_table, drop_tables
+from sluicegate.llm.common import CHUNK_BYTES, as_table, drop_tables, tidy
 
 #: One document of so many gives its n-grams to the search for frequent ones.
 FREQUENT_SAMPLE = 32
@@ -140,6 +140,7 @@ def _texts(column):
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Hashes of frequent n-grams, rarest first, and about how many n-grams all rows have."""
 
+    @tidy
     def run(batches):
         for b in batches:
             for s in ngram_sets(_texts(b.column(0)), n):
@@ -167,6 +168,7 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
     """Each row's id, node (null: empty set) and size of set."""
     kind = docs.schema["id"].dataType
 
+    @tidy
     def run(batches):
         for b in batches:
             sets = [(node_of(s) if len(s) else None, len(s)) for s in ngram_sets(_texts(b.column(1)), n)]
@@ -196,6 +198,7 @@ def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets:
     order = np.argsort(frequent)
     held = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
 
+    @tidy
     def run(batches):
         known, rank = held.value
         seen: set[int] = set()
@@ -257,6 +260,7 @@ def _lists(index: DataFrame) -> DataFrame:
         keep = np.append(same, False) | np.append(False, same)
         return pa.table([h[keep], node[keep], many[keep], pos[keep]], names=names)
 
+    @tidy
     def unpack(batches):
         for b in batches:
             for x in b.column(0):
@@ -275,6 +279,7 @@ def _wanted_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """
     bits = 1 << BLOOM_BITS
 
+    @tidy
     def marks(batches):
         own = np.zeros(bits, bool)
         for b in batches:
@@ -289,6 +294,7 @@ def _wanted_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
         whole |= np.frombuffer(r["bits"], np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(whole)
 
+    @tidy
     def keyed(batches):
         whole = held.value
         for b in batches:
@@ -313,6 +319,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """pairs (a, b) with ``both`` and ``either``, the sizes of intersection and union."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
+    @tidy
     def run(batches):
         kept: dict[int, np.ndarray] = {}
         for batch in batches:

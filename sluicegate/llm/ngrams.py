@@ -18,7 +18,7 @@ from sluicegate.llm.u64map import U64Map
 
 UNIT = 1 << 16
 #: Bytes scored at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def mask(n: int) -> np.uint64:

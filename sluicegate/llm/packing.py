@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import as_table
+from sluicegate.llm.common import as_table, tidy
 from sluicegate.llm.tokens import encoder, texts_of
 
 #: Open bins per packer.
@@ -95,6 +95,7 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: st
     names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     tail = int(end_id).to_bytes(4, "little")
 
+    @tidy
     def run(batches):
         enc, bins, id_type = encoder(path), BestFit(capacity, open_bins), None
         base = TaskContext.get().partitionId() << 36

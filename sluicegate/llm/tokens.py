@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.llm import bpe
+from sluicegate.llm.common import tidy
 
 _ENCODERS: dict[tuple[str, int], bpe.Encoder] = {}
 
@@ -33,6 +34,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``n_tokens`` and ``ids`` (array of int) of each row; null text encodes as empty."""
     kind = df.schema[id_col].dataType
 
+    @tidy
     def run(batches):
         enc = encoder(path)
         for b in batches:
@@ -48,6 +50,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     """``id_col`` and ``data`` (the bytes that the ids stand for); null ids decode to no bytes."""
     kind = df.schema[id_col].dataType
 
+    @tidy
     def run(batches):
         vocabulary = encoder(path).vocabulary
         for b in batches:
@@ -66,6 +69,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
     kind = df.schema[id_col].dataType
 
+    @tidy
     def run(batches):
         enc = encoder(path)
         for b in batches:
