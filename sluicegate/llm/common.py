@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import itertools
 import tempfile
 import uuid
@@ -23,6 +24,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 GROUP_BYTES = 16 << 20
 
 
+#: Spark's switch for deleting a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("parquet.block.size", GROUP_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -43,10 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def as_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files behind the table again, so they are deleted with the end of the write.
+    """
     small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before) if before is not None else conf.unset(SHUFFLE_CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,7 +75,8 @@ def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def give_back() -> None:
-    """Return this worker's freed memory to the system: workers outlive tasks, and idle ones wait beside busy ones."""
+    """Return this process's freed memory to the system: workers outlive tasks, and idle ones wait beside busy ones."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
         trim(0)

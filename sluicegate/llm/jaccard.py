@@ -36,7 +36,6 @@ BLOOM_BITS = 24
 #: Index entries that a bucket holds, about; and those that a task holds before it hands them on.
 BUCKET_ENTRIES, HELD_ENTRIES = 200_000, 250_000
 
-PROBE = False
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RANDOM = np.random.Generator(np.random.PCG64(23))
 _FACTORS = [_RANDOM.integers(0, 2**64, 1 << 10, np.uint64) | np.uint64(1)]
@@ -152,6 +151,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     counted = as_table(counted.groupBy(F.when(F.col("c") >= 3, F.col("h")).alias("h")).agg(F.sum("c").alias("c")))
     total = counted.agg(F.sum("c")).first()[0] or 0
     top = counted.where("h is not null").orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).orderBy("c", "h").toArrow()
+    drop_tables(docs.sparkSession, counted)
     return top.column("h").to_numpy().view(np.uint64), total * FREQUENT_SAMPLE
 
 
@@ -374,7 +374,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     frequent, total = _frequent(docs, n)
     buckets = int(min(1 << 16, max(64, total * (100 - percent + 5) // 100 // BUCKET_ENTRIES)))
     rows = _nodes(docs, n)
-    lists = _lists(_index(docs, n, percent, frequent, buckets))
+    spark = df.sparkSession
+    all_lists = lists = _lists(_index(docs, n, percent, frequent, buckets))
     of_node = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     linked = F.col("both") * 100 >= F.col("either") * percent
 
@@ -384,14 +385,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         lists = lists.join(able, "node", "left_semi")
         lists = lists.join(lists.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
     lists = as_table(lists)
-    texts = _wanted_texts(docs, as_table(of_node.join(lists.select("node").distinct(), "node", "left_semi")), n)
+    drop_tables(spark, all_lists)
+    chosen = as_table(of_node.join(lists.select("node").distinct(), "node", "left_semi"))
+    texts = _wanted_texts(docs, chosen, n)
+    drop_tables(spark, chosen)
 
     # rounds: of each component, the node with the most votes is compared with a leader of its lists;
     # at first the leader is the set that shares most with others, as the origin of edited copies does
     sizes = lists.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
     central = lists.join(sizes, "h").groupBy("node", "n").agg(F.sum("m").alias("m")).select("node", (F.col("m") / F.col("n")).alias("weight"))
-    lists = as_table(lists.join(central, "node").select("h", "node", "n", "pos", "weight"))
-    told = df.sparkSession.createDataFrame([], "a long, b long, both int, either int")
+    unweighted, lists = lists, as_table(lists.join(central, "node").select("h", "node", "n", "pos", "weight"))
+    drop_tables(spark, unweighted)
+    told = spark.createDataFrame([], "a long, b long, both int, either int")
     comps = as_table(lists.select("node", F.col("node").alias("comp")).distinct())
     for k in range(ROUNDS):
         placed = lists.join(comps, "node")
@@ -405,8 +410,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         count, hits = tried.agg(F.count(F.lit(1)), F.count_if(linked)).first()
         if not count:
             break
-        told = as_table(told.union(tried))
+        old, told = told, as_table(told.union(tried))
+        drop_tables(spark, old, tried)
         if hits:
+            drop_tables(spark, comps)
             comps = as_table(lists.select("node").distinct().join(components(told.where(linked)), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
         if hits < 0.1 * count:
             break
@@ -417,6 +424,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     placed = lists.join(comps, "node").join(lead, "node", "left").select("h", "node", "n", "pos", "comp", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     rest = as_table(placed.join(mixed, "h", "left_semi"))
+    drop_tables(spark, lists, comps)
     side = lambda s: rest.select("h", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "comp", "leader", "far")))
     cross = side("1").join(side("2"), "h").where(
         (F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2"))))
@@ -430,9 +438,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     pairs = found.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
     pairs = pairs.join(told.select("a", "b"), ["a", "b"], "left_anti").join(told.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = _verified(pairs, texts, n)
-    if PROBE:
-        print("lists", lists.count(), "texts", texts.count(), "told", told.count(), told.where(linked).count(), "rest", rest.count(), "cross", cross.count(), "pairs", found.count(), "more", more.count(), more.where(linked).count(), flush=True)
+    drop_tables(spark, rest, texts)
     comps = components(told.where(linked).select("a", "b").union(more.where(linked).select("a", "b")))
+    drop_tables(spark, told, more)
 
     owned = of_node.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
