@@ -39,6 +39,8 @@ BUCKET_ENTRIES, HELD_ENTRIES = 200_000, 250_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RANDOM = np.random.Generator(np.random.PCG64(23))
 _FACTORS = [_RANDOM.integers(0, 2**64, 1 << 10, np.uint64) | np.uint64(1)]
+#: Factor of a short text's number of words: fixed, as the list of factors grows with the words that a worker meets.
+_SHORT = _FACTORS[0][-1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -74,7 +76,7 @@ def _sets(words: np.ndarray, n: int) -> np.ndarray:
         return words
     f = _factors(8)
     if len(words) < n:
-        return _mix((words * f[: len(words)]).sum(keepdims=True) + f[-1:] * np.uint64(len(words)))
+        return _mix((words * f[: len(words)]).sum(keepdims=True) + _SHORT * np.uint64(len(words)))
     h = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         h += words[k : len(words) - n + 1 + k] * _factors(n)[k]

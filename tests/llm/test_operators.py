@@ -217,6 +217,15 @@ def test_jaccard_join(spark, docs):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_short_texts_keep_their_set_after_a_long_word(monkeypatch):
+    monkeypatch.setattr(jaccard, "_RANDOM", np.random.Generator(np.random.PCG64(1)))
+    monkeypatch.setattr(jaccard, "_FACTORS", [jaccard._FACTORS[0][: 1 << 10]])
+    short = ["a", "one two", "one two three four"]
+    before = [s.tolist() for s in jaccard.ngram_sets(short)]
+    assert len(list(jaccard.ngram_sets(["x" * 3000]))[0]) == 1 and len(jaccard._FACTORS[0]) > 1 << 10
+    assert [s.tolist() for s in jaccard.ngram_sets(short)] == before
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello  there\nsecond line"), (1, 1, "assistant", "Some answer"), (1, 2, "user", "> hello there\n> Second line\nI agree\n>> Some  Answer\nok"), (1, 3, "user", None), (1, 5, "user", "> nothing known\n"), (None, 0, "u", "x"), (2, None, "u", "> x"), (2, 7, "u", "> a\n\n> a\nb")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(1))
