@@ -20,7 +20,8 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
-    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    # floor makes integers of NaN and infinity, so these become null first, which valid_rows leaves out
+    whole = F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(256 * x.cast("double"))))
     return mtree.top_k(rows.select("vec_id", whole.alias("embedding")), k=5, every=50)
 
 

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe, dimscan, jaccard, language, mtree, ngrams, packing, quotes, secrets, sharding, tokens, toxicity
+from sluicegate.llm import bpe, dimscan, jaccard, language, mtree, ngrams, packing, queries, quotes, secrets, sharding, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, size long"
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
@@ -168,6 +168,18 @@ def test_mtree_is_exact(spark):
     assert mtree.top_k(awkward(spark, v[:3]), every=2).count() == 4
 
 
+def test_mtree_query_leaves_out_what_is_not_finite(spark, tmp_path):
+    v = whole_vectors() / 256
+    nan, inf = float("nan"), float("inf")
+    odd = [(900, [nan] * 8), (950, [inf] + [0.0] * 7), (951, [0.0] * 7 + [-inf]), (952, [nan] + [9.0] * 7), (1000, [None] + [1.0] * 7)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = []
+    for name, table in (("clean", rows), ("odd", rows + odd)):
+        spark.createDataFrame(table, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        got.append(sorted(tuple(r) for r in queries.op2_mtree_top_k(spark, f"{tmp_path}/{name}").collect()))
+    assert got[0] == got[1] and len(got[0]) == 5 * 8
+
+
 def test_dimension_scan_recall(spark):
     v = whole_vectors()
     rows = dimscan.nearest(awkward(spark, v), k=5, every=10).collect()
