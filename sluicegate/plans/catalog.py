@@ -170,6 +170,21 @@ def _(spark, sf_dir):
     return with_surfaces(rows).select("doc_id", F.sha2("surfaces.canonical", 256).alias("canonical_sha256"))
 
 
+@_query("canonical_surface_all", None)
+def _(spark, sf_dir):
+    """Every document, a null text as an empty one; SQL has no NFKC or entities, so tests compare with Python."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return with_surfaces(rows).select("doc_id", F.sha2("surfaces.canonical", 256).alias("canonical_sha256"))
+
+
+@_query("obfuscated_hits_in_texts", None)
+def _(spark, sf_dir):
+    """Findings of whole texts that a hidden payload ends."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = rows.select(F.col("doc_id").alias("ordinal"), F.lit(None).cast("string").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.expr(_HIDDEN_SQL)).alias("text"))
+    return scan_documents(docs, metadata=False, splits=False).select("ordinal", "family")
+
+
 @_query("policy_decisions", f"{_DECIDED} SELECT ordinal, decision, families, n_findings FROM decided")
 def _(spark, sf_dir):
     return _decisions(spark, sf_dir).select("ordinal", "decision", F.array_join("families", ",").alias("families"), "n_findings")
