@@ -341,6 +341,16 @@ def _(spark, sf_dir):
     return M.shared_word_components(items)
 
 
+@_query("trigger_components_all", None)
+def _(spark, sf_dir):
+    """Every part; parts of one brand, type and size share the words of their names. Without a key a part is left out, without a name it is alone."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey IS NOT NULL")
+    names = F.filter(F.split(F.lower(F.coalesce("p_name", F.lit(""))), r"\s+"), lambda w: w != "")
+    words = F.transform(names, lambda w: F.to_json(F.struct("p_brand", "p_type", "p_size", w.alias("word"))))
+    one = parts.select(F.col("p_partkey").alias("item"), F.explode_outer(words).alias("word"))
+    return M.shared_word_components(one.groupBy("item").agg(F.collect_set("word").alias("words")))
+
+
 _VEC = "v AS (SELECT vec_id AS ordinal, CAST(embedding AS DOUBLE[]) AS u, source AS owner, text FROM embeddings JOIN documents ON vec_id = doc_id)"
 
 

@@ -38,3 +38,23 @@ def test_hidden_payloads_are_found_in_whole_texts(spark, table):
     path, texts = table
     got = {(r.ordinal, r.family) for r in catalog.queries()["obfuscated_hits_in_texts"](spark, path).collect()}
     assert {(k, f) for k in texts if (f := catalog._HIDDEN[k % 6][1])} == {x for x in got if x[1] == "instruction_override"}
+
+
+def test_trigger_components_of_all_parts(spark, tmp_path):
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    odd = spark.createDataFrame([(9000, None, "b", "t", 1, 1.0), (9001, " ", "b", "t", 1, 1.0), (9002, "Far  gadget", "b", "t", 1, 1.0), (9003, "gadget", "b", "t", 1, 1.0), (None, "gadget", "b", "t", 1, 1.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size long, p_retailprice double")
+    table = parts.select(*(parts[c].cast(t) for c, t in odd.dtypes)).union(odd)
+    table.write.parquet(f"{tmp_path}/part.parquet")
+    rows = [r for r in table.collect() if r.p_partkey is not None]
+    least = {r.p_partkey: r.p_partkey for r in rows}
+    words = [(r.p_partkey, (r.p_brand, r.p_type, r.p_size, w)) for r in rows for w in (r.p_name or "").lower().split()]
+    while True:
+        of_word = {}
+        for k, w in words:
+            of_word[w] = min(of_word.get(w, least[k]), least[k])
+        new = least | {k: min(of_word[w] for j, w in words if j == k) for k, _ in words}
+        if new == least:
+            break
+        least = new
+    got = {r["item"]: r["component"] for r in catalog.queries()["trigger_components_all"](spark, str(tmp_path)).collect()}
+    assert got == least and len(got) == parts.count() + 4
