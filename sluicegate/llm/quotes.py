@@ -1,9 +1,10 @@
 """Quotation linking: reply-ordered conversations without quotes, DataFrame operations only.
 
 Lines that begin with ``>`` marks are quotes; their level is the number of
-marks.  Neighbouring lines of one level form a passage.  Passages are normalised
-(letters lowered, white space made single) and hashed; a quoted passage links to
-the latest earlier message of its conversation that wrote the passage itself.
+marks.  Neighbouring lines of one level form a passage.  Passages, their
+paragraphs and their lines are normalised (letters lowered, white space made
+single) and hashed; a quoted passage links by its longest unit that an earlier
+message of its conversation wrote itself, to the latest such message.
 A message replies to what its outermost quotes link to, or to the turn before
 it.  No conversation is gathered in one place: order is carried by keys.
 """
@@ -50,6 +51,14 @@ def passage_hash(body: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.lower(body), r"\s+", " ")), 256)
 
 
+def _units(body: Column) -> Column:
+    """A passage, its paragraphs and its lines, each said once: array of (size, h)."""
+    text = F.lower(body)
+    found = F.concat(F.array(text), F.split(text, r"\n\s*\n", -1), F.split(text, r"\n", -1))
+    plain = F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+    return F.transform(F.filter(plain, lambda x: F.length(x) > 0), lambda x: F.struct(F.length(x).alias("size"), F.unhex(F.sha2(x, 256)).alias("h")))
+
+
 def own_text(found: Column) -> Column:
     """What a message itself wrote: its passages of level 0."""
     return F.array_join(F.transform(F.filter(found, lambda r: r["level"] == 0), lambda r: F.regexp_replace(r["body"], r"^\s+|\s+$", "")), "\n")
@@ -58,8 +67,9 @@ def own_text(found: Column) -> Column:
 def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: ``conv_id``, ``turn``, ``role``, ``reply_to``, ``linked_quotes``, ``n_quotes``, ``body``, ``chat``.
 
-    reply_to: the latest earlier turn that wrote one of the outermost quoted
-    passages; without one, the greatest earlier turn; null for a first turn.
+    reply_to: the latest turn that an outermost quoted passage links to (each by
+    its longest unit: itself, a paragraph, a line; of equal ones the latest
+    turn); without one, the greatest earlier turn; null for a first turn.
     linked_quotes and n_quotes count quoted passages of all levels.  body: the
     message without quotes; chat: body with its role's tag.  (conv_id, turn)
     orders replies after what they answer.  Null text is empty; messages with a
@@ -68,10 +78,16 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     """
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), passages(F.col(text_col)).alias("found"))
     quoted = F.filter("found", lambda r: r["level"] > 0)
-    origins = rows.select("conv", F.col("turn").alias("said"), F.explode(F.filter("found", lambda r: r["level"] == 0)).alias("p")).select("conv", "said", passage_hash(F.col("p.body")).alias("h")).distinct()
+    placed = rows.where("conv is not null and turn is not null")
+    own = F.filter("found", lambda r: r["level"] == 0)
+    origins = placed.select("conv", "turn", F.explode(own).alias("p")).select("conv", "turn", F.explode(_units(F.col("p.body"))).alias("u")).select("conv", "turn", "u.h", F.lit(True).alias("own"))
     # some quotes of a message are the same passage: each counts, but is looked up once
-    quotes = rows.where(F.size(quoted) > 0).select("conv", "turn", F.explode(quoted).alias("p")).select("conv", "turn", F.col("p.level").alias("level"), passage_hash(F.col("p.body")).alias("h")).groupBy("conv", "turn", "h").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("times"))
-    hits = quotes.join(origins, ["conv", "h"]).where("said < turn").groupBy("conv", "turn", "h").agg(F.max("said").alias("said"), F.first("level").alias("level"), F.first("times").alias("times"))
+    quotes = placed.where(F.size(quoted) > 0).select("conv", "turn", F.explode(quoted).alias("p")).select("conv", "turn", F.col("p.level").alias("level"), F.col("p.body").alias("body"), passage_hash(F.col("p.body")).alias("passage"))
+    quotes = quotes.groupBy("conv", "turn", "passage").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("times"), F.array_distinct(F.flatten(F.collect_set(_units(F.col("body"))))).alias("units"))
+    parts = quotes.select("conv", "turn", "passage", "level", "times", F.explode("units").alias("u")).select("conv", "turn", "passage", "level", "times", "u.size", "u.h")
+    said = latest(origins.union(parts.select("conv", "turn", "h", F.lit(False))))
+    hits = parts.join(said, ["conv", "turn", "h"]).groupBy("conv", "turn", "passage").agg(F.max(F.struct("size", "said")).alias("longest"), F.first("level").alias("level"), F.first("times").alias("times"))
+    hits = hits.select("conv", "turn", F.col("longest.said").alias("said"), "level", "times")
     outer = hits.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("outermost"), "said")).alias("best"), F.sum("times").alias("linked"))
     copies = rows.where(F.size(quoted) > 0).groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("copies"))
     outer = outer.join(copies, ["conv", "turn"]).select("conv", "turn", F.col("best.said").alias("answered"), (F.col("linked") / F.col("copies")).cast("long").alias("linked"))
@@ -87,6 +103,21 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     )
 
 
+def latest(events: DataFrame) -> DataFrame:
+    """``conv``, ``turn``, ``h``, ``said`` of turns that quote a unit: the greatest smaller turn that wrote it itself.
+
+    Spans of 1024 turns as in ``previous``, so that no common line is joined with all its quotes.
+    """
+    from pyspark.sql.window import Window
+
+    once = events.groupBy("conv", "h", "turn").agg(F.max(F.when(F.col("own"), F.col("turn"))).alias("own"), F.max(~F.col("own")).alias("asks")).withColumn("span", F.floor(F.col("turn") / 1024))
+    w = Window.partitionBy("conv", "h", "span").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    inside = once.withColumn("near", F.last("own", ignorenulls=True).over(w)).where("asks")
+    over = Window.partitionBy("conv", "h").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = once.groupBy("conv", "h", "span").agg(F.max("own").alias("top")).withColumn("carried", F.last("top", ignorenulls=True).over(over)).select("conv", "h", "span", "carried")
+    return inside.join(tops, ["conv", "h", "span"]).select("conv", "turn", "h", F.coalesce("near", "carried").alias("said")).where("said is not null")
+
+
 def previous(turns: DataFrame) -> DataFrame:
     """``conv``, ``turn``, ``before``: the greatest smaller turn of the conversation, without a window over it.
 

@@ -244,3 +244,12 @@ def test_quotes(spark):
     got = {(r.conv_id, r.turn): (r.reply_to, r.linked_quotes, r.n_quotes, r.body) for r in quotes.link(df).collect()}
     assert got[1, 2] == (0, 2, 2, "I agree\nok") and got[1, 3] == (2, 0, 0, "") and got[1, 5] == (3, 0, 1, "") and got[2, 7] == (None, 0, 2, "b")
     assert len(got) == 8 and quotes.link(df.limit(0)).count() == 0
+
+
+def test_partial_quotes(spark):
+    long = "First line here\nsecond line there\n\nNext paragraph of it\nwith an end"
+    rows = [(1, 0, "u", long), (1, 1, "a", "nothing of it"), (1, 2, "u", "> Second   line there\nyes"), (1, 3, "a", "> next paragraph of it\n> with an end\nno"), (1, 4, "u", "> first line here\n> second line there\n\n> Next paragraph of it\n> with an end\nall"), (1, 5, "a", "> second line there\n> Next paragraph of it\n> never said"), (1, 6, "u", "> never said at all")]
+    rows += [(2, 0, "u", "ok"), (2, 1, "a", "ok\nmore"), (2, 2000, "u", "ok"), (2, 2001, "a", "> ok\n> more"), (2, 2002, "u", "> ok")]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.linked_quotes, r.n_quotes) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, k] for k in range(2, 7)] == [(0, 1, 1), (0, 1, 1), (0, 2, 2), (0, 1, 1), (5, 0, 1)]
+    assert got[2, 2001] == (1, 1, 1) and got[2, 2002] == (2000, 1, 1)
