@@ -134,12 +134,81 @@ def test_toxicity(spark, docs):
     word = lambda: "".join(rng.choice(list("abcdeiou"), 5))
     clean = [" ".join(word() for _ in range(60)) for _ in range(300)]
     toxic = [" ".join([*(word() for _ in range(57)), "zwuck", "zwucker", "zwucky"]) for _ in range(300)]
-    model = toxicity.train(clean[:200], toxic[:200])
-    rows = spark.createDataFrame([(i, t, int(i >= 100)) for i, t in enumerate(clean[200:] + toxic[200:])], "doc_id long, text string, label int")
+    table = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(600)] + [(7, 9), (None, 1), (8, None)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels, F.col("doc_id") % 3 != 0)
+    rows = table.where("doc_id % 3 = 0").withColumn("label", (F.col("doc_id") >= 300).cast("int"))
     got = toxicity.score(rows, model, keep=["label"]).withColumn("hit", (F.col("score") >= 0.5).cast("int"))
     assert got.where("hit = label").count() >= 196
     assert toxicity.score(docs, model).where("score between 0 and 0.5").count() == len(TEXTS) + 2
-    assert toxicity.train([], [])[1][3] < 0
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    nothing = toxicity.fit(table, labels.limit(0), F.lit(True))
+    assert toxicity.score(docs, nothing).where("score < 0.5").count() == len(TEXTS) + 2
+
+
+class Dictionaries:
+    """Kneser-Ney over the same sentences, from its definition."""
+
+    def __init__(self, rows, order=8, d=toxicity.DISCOUNT, shared=toxicity.SHARED):
+        self.order, self.d, self.shared = order, d, shared
+        own = [{}, {}]
+        for label, s in {(label, " ".join(toxicity.words_of(s))) for t, label in rows for s in re.split(r"(?<=[.!?])\s", t)}:
+            for w in s.split():
+                for k in range(1, len(w.encode()) + 2):
+                    g = (b" " + w.encode())[:k][-order:]
+                    own[label][g] = own[label].get(g, 0) + 1
+        counts = {order: {g: own[0].get(g, 0) + own[1].get(g, 0) for g in own[0].keys() | own[1].keys()}}
+        for n in range(order - 1, 0, -1):
+            counts[n] = {}
+            for g, w in counts[n + 1].items():
+                counts[n][g[-n:]] = w if len(g) <= n else counts[n].get(g[-n:], 0) + 1
+        self.tables = [(c, *self.contexts(c)) for c in (counts[n] for n in range(1, order + 1))]
+        self.own = [(c, *self.contexts(c)) for c in own]
+
+    @staticmethod
+    def contexts(counts):
+        total, kinds = {}, {}
+        for g, w in counts.items():
+            total[g[:-1]], kinds[g[:-1]] = total.get(g[:-1], 0) + w, kinds.get(g[:-1], 0) + 1
+        return total, kinds
+
+    def p(self, g, n):
+        if n == 0:
+            return 1 / 256
+        counts, total, kinds = self.tables[n - 1]
+        g = g[-n:]
+        if g[:-1] not in total:
+            return self.p(g, n - 1)
+        return (max(counts.get(g, self.d) - self.d, 0) + self.d * kinds[g[:-1]] * self.p(g, n - 1)) / total[g[:-1]]
+
+    def bits(self, word, label):
+        out = 0.0
+        for k in range(1, len(word.encode()) + 2):
+            g = (b" " + word.encode())[:k][-self.order :]
+            counts, total, kinds = self.own[label]
+            c = g[:-1]
+            if c in self.tables[-1][1]:
+                spare = (self.d * kinds.get(c, 0) + self.shared) / (total.get(c, 0) + self.shared)
+                p = max(counts.get(g, 0) - self.d, 0) / (total.get(c, 0) + self.shared) + spare * self.p(g, self.order)
+            else:
+                p = self.p(g, self.order)
+            out -= np.log2(p)
+        return out
+
+
+def test_kneser_ney_equals_dictionaries(spark):
+    rows = [("Good morning to you. Good evening! A löwe sleeps", 0), ("good evening again", 0), ("you zwuck. Good evening! extraordinarily zwuckish", 1), ("You ZWUCK. extraordinary zwucks", 1)]
+    table = toxicity.train_counts(spark.createDataFrame(rows, "text string, label int").repartition(3))
+    brute = Dictionaries(rows)
+    for word in ("good", "zwuck", "zwucking", "extraordinarily", "löwe", "qqq", "evenin", "morningstar"):
+        got = next(ngrams.score(table, [b" " + word.encode()], words=True)) / ngrams.UNIT
+        assert got == pytest.approx([brute.bits(word, 0), brute.bits(word, 1)], abs=0.01), word
+
+
+def test_highest_counts_are_kept(spark):
+    rows = spark.createDataFrame([(8, k, 1 + k // 4) for k in range(40)], "n int, gram long, w long")
+    kept = {r.gram for r in toxicity._highest(rows, "w", 10).collect()}
+    assert 4 <= len(kept) <= 10 and min(kept) == 40 - len(kept)
 
 
 def whole_vectors(n=400, d=8):
