@@ -81,6 +81,31 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs).count() == len(TEXTS) + 2 and sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_spreads_one_repeated_row_and_keeps_small_groups(spark):
+    same = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    out = sharding.shard(same.repartition(3), bucket_rows=100).toPandas()
+    rows = out.groupby("shard").size()
+    assert len(rows) == 8 and rows.max() - rows.min() <= 0.02 * 500
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    pairs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("pair "), F.floor(F.col("id") / 2)).alias("text"))
+    assert sharding.shard(pairs, bucket_rows=100).groupBy("text").agg(F.count_distinct("shard").alias("k")).where("k > 1").count() == 0
+    assert sharding._edge(7, (2**63 - 1, 0, 0), True) == (2**63 - 1,) * 3
+    assert sharding._edge(15, (4, 2**63 - 1, 0), True) == (5, -(2**63), -(2**63))
+
+
+def test_histogram_shards_query(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate([None, "", "é😀", "same", "same", "same", "x" * 3000, *(f"text {k} " * (k % 17) for k in range(300))])] + [(3, "same"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_histogram_shards(spark, str(tmp_path)).toPandas()
+    size = lambda t: len((t or "").encode()) + 1
+    want = sorted((-1 if i is None else i, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((-1 if i != i else int(i), s, c) for i, s, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == want
+    assert set(got.law) == {"bytes"} and got.grown_shard.isna().all() and set(got.shard) <= set(range(8))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() - sums.min() <= 3001 + 0.02 * sums.mean()
+
+
 def brute_spans(text):
     found = []
     for k, (rx, group, least) in enumerate(((r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24))):
