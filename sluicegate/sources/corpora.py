@@ -16,6 +16,18 @@ OUTCOMES = "schema_version int, benchmark string, benchmark_revision string, mod
 FRAME = "protocol int, id string, documents array<struct<text: string, metadata: string>>"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table dealt to all cores.
+
+    A file of one row group is one task's work however many cores wait.  Only a
+    table that makes fewer scan tasks than there are cores is exchanged, so what
+    is moved is bounded by cores x the size of a split; larger tables stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores, rows.columns[0]) if tasks < cores else rows
+
+
 def documents(rows: DataFrame, order_by: list[str] | None = None, text: str = "text", id_: str | None = "id", metadata: str | None = None, source: str | None = None, ordinal: str | None = None) -> DataFrame:
     """``ordinal``, ``id``, ``text``, ``metadata``, ``source`` from any table of documents.
 
