@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sluicegate.sources import corpora
+
 #: Bytes of text that Python code works on at a time; longer texts are cut inside the operators.
 CHUNK_BYTES = 1 << 18
 
@@ -29,22 +31,33 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Set the session's batch and row group sizes: they are read when a plan runs, which is after an operator returns."""
     spark.conf.set("parquet.block.size", GROUP_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which every executor shares.
+    """A fresh folder under ``spark.checkpoint.dir``, which every executor shares; it goes when the driver ends.
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) a temporary folder is set.
+    The setting is read from the session.  Where it is unset, a session on one
+    machine (tests) gets a temporary folder; on a cluster, that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sluicegate-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sluicegate-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/sluicegate-{uuid.uuid4().hex}"
+    place, system = _file_system(spark, path)
+    system.deleteOnExit(place)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def as_table(df: DataFrame) -> DataFrame:
@@ -66,12 +79,11 @@ def as_table(df: DataFrame) -> DataFrame:
 
 def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``as_table`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
     for df in tables:
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/sluicegate-" in f:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                place, system = _file_system(spark, f)
+                system.delete(place, True)
 
 
 def give_back() -> None:
@@ -129,4 +141,4 @@ def fold(column: str, n: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return corpora.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))

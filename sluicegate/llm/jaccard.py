@@ -33,6 +33,8 @@ SPARE = 20
 ROUNDS = 4
 #: Bits of the filter of wanted ids, as a power of two.
 BLOOM_BITS = 24
+#: Shares that the members of a component are dealt to where they take its name.
+SALTS = 16
 #: Index entries that a bucket holds, about; and those that a task holds before it hands them on.
 BUCKET_ENTRIES, HELD_ENTRIES = 200_000, 250_000
 
@@ -167,17 +169,17 @@ def prefix_length_column(size, percent: int):
 
 
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
-    """Each row's id, node (null: empty set) and size of set."""
+    """Each row's id, hash of text, node (null: empty set) and size of set."""
     kind = docs.schema["id"].dataType
 
     @tidy
     def run(batches):
         for b in batches:
-            sets = [(node_of(s) if len(s) else None, len(s)) for s in ngram_sets(_texts(b.column(1)), n)]
+            sets = [(node_of(s) if len(s) else None, len(s)) for s in ngram_sets(_texts(b.column(2)), n)]
             node, size = zip(*sets, strict=True) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32())], ["id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32())], ["id", "h", "node", "n"])
 
-    return as_table(docs.mapInArrow(run, f"id {kind.simpleString()}, node long, n int"))
+    return as_table(docs.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"id {kind.simpleString()}, h long, node long, n int"))
 
 
 #: How entries are laid out in a blob, column by column: 48 bits of the hash (more only decide candidates), node, size, position.
@@ -372,6 +374,35 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     of equal sets are one node; repeated rows are too.  Ids may be null: such a
     row takes the least id of its component, if it has one.
     """
+    rows, names = _linked(df, id_col, text_col, n, percent)
+    out = rows.join(names, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component of ``join``, the row of the least id stays.
+
+    Null ids come last; of rows of one id with different texts in one component,
+    that of the least node stays, and of rows equal in id and text, any one.
+    Rows of one id that are not linked stay both.  Rows with empty sets stay.
+    """
+    rows, names = _linked(df, id_col, text_col, n, percent)
+    placed = rows.where("node is not null").join(names.select("node", "comp"), "node")
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "h")).alias("k")).select("k.id", "k.h")
+    per = rows.where("node is not null").groupBy("id", "h").agg(F.count(F.lit(1)).alias("c"))
+    both = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
+    state = as_table(per.join(first.withColumn("stays", F.lit(True)), both(per, first), "left").select(per["id"], per["h"], "c", F.coalesce("stays", F.lit(False)).alias("stays")))
+    marked = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(df.columns)), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("id"))
+    gone, again = state.where("not stays"), state.where("stays and c > 1")
+    kept = marked.join(gone, both(marked, gone), "left_anti")
+    if again.limit(1).count():  # rows that stand more than once
+        repeated = kept.join(again, both(kept, again), "left_semi").dropDuplicates(["id", "h"])
+        kept = kept.join(again, both(kept, again), "left_anti").unionByName(repeated)
+    return kept.drop("h", "id").toDF(*df.columns)
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``id``, ``h``, ``node``, ``n``), and of each node its component and the component's least id."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     frequent, total = _frequent(docs, n)
     buckets = int(min(1 << 16, max(64, total * (100 - percent + 5) // 100 // BUCKET_ENTRIES)))
@@ -444,8 +475,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     comps = components(told.where(linked).select("a", "b").union(more.where(linked).select("a", "b")))
     drop_tables(spark, told, more)
 
-    owned = of_node.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_comp = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
-    names = as_table(owned.join(of_comp, "comp").select("node", "component_id"))
-    out = rows.join(names, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    # members of a large component take its name from copies of it, so that no task gets them all
+    members = comps.join(of_node, "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int"))
+    least = members.groupBy("comp").agg(F.min("id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = members.join(least, ["comp", "salt"]).select("node", "comp", "component_id")
+    names = of_node.join(named, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows, as_table(names)
