@@ -170,6 +170,52 @@ def test_language(docs, spark):
     assert language.identify(docs, model, keep=["score", "source"]).columns == ["doc_id", "source", "lang_pred", "score", "bits"]
 
 
+def code_length(texts, text, order=language.ORDER):
+    """PPM, method C, from its definition."""
+    seen = {}
+    for t in texts:
+        data = b"\0" * (order - 1) + t.lower().encode()
+        for i in range(order - 1, len(data)):
+            for n in range(order):
+                own = seen.setdefault(data[i - n : i], {})
+                own[data[i]] = own.get(data[i], 0) + 1
+    bits, data = 0.0, b"\0" * (order - 1) + text.lower().encode()
+    for i in range(order - 1, len(data)):
+        for n in range(order - 1, -1, -1):
+            if own := seen.get(data[i - n : i]):
+                whole = sum(own.values()) + len(own)
+                if data[i] in own:
+                    bits -= np.log2(own[data[i]] / whole)
+                    break
+                bits -= np.log2(len(own) / whole)
+        else:
+            bits += 8
+    return bits
+
+
+def test_language_query_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    said = {"en": "the of and to in house water is that", "fr": "le la de et maison eau est que", "xx": "zu za zo zi zürn qa"}
+    rows = [(i, " ".join(rng.choice(said[k].split(), int(rng.integers(1, 25)))), k) for i, k in enumerate(rng.choice(list(said), 90).tolist())]
+    rows += [(200, None, "en"), (201, "", "fr"), (202, "12 34", "en"), (203, "House", None), (204, "这是中文" * 9, None), (205, "qqrrxxjjwwkkvv", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_ppm_language(spark, str(tmp_path)).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    known = {k: [t for i, t, lang in rows if lang == k and t and fold(i) != 2] for k in said}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        assert got[i].held_out == (fold(i) == 2)
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        bits = {k: code_length(known[k], t) for k in known}
+        best = min(bits, key=bits.get)
+        rest = 2 ** min(900.0, bits[best] - 8 * len(t.lower().encode()))
+        want = 1 / (rest + sum(2 ** max(-900.0, bits[best] - x) for x in bits.values()))
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(want, abs=2e-3)
+    assert got[204].score < 1e-9 and got[205].score < 1e-9
+
+
 def test_code_lengths_by_hand():
     names, table = language.train({"x": ["ab", "ac"]}, order=2)
     # order 1: a 2, b 1, c 1, three kinds; after a: b 1, c 1, two kinds; after the start: a 2, one kind

@@ -22,6 +22,16 @@ def test_near_copies_leave_one_of_each_group(spark, docs):
     assert sorted(ids) == sorted(groups) and kept.columns == docs.columns
 
 
+def test_near_copies_decide_by_row(spark, docs):
+    copy = "the very same words stand in this text and in its copies too"
+    other, third = "an unlinked text of quite different words that stays as it is", "yet another text that shares nothing with those two above it"
+    rows = [(1, copy), (5, copy), (5, other), (5, other), (7, third), (7, copy), (None, "null ids have copies as well as others have them"), (None, "null ids have copies as well as others have them"), (None, "null ids have copies as well as others have them"), (None, third), (9, None), (9, None), (9, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in C.drop_near_copies(spark, table, SF).collect()))
+    assert kept == sorted([(1, copy), (5, other), (7, third), (0, rows[6][1]), (9, ""), (9, ""), (9, "")])
+    assert C.drop_near_copies(spark, table.limit(0), SF).count() == 0
+
+
 def test_masking_touches_only_secrets(spark, docs):
     table = docs.limit(5).union(spark.createDataFrame([(9003, 'x secret = "abcdefgh" y', "en", "s", 23)], docs.schema))
     got = {r.doc_id: r for r in C.mask_secrets(spark, table, SF).collect()}
@@ -29,7 +39,7 @@ def test_masking_touches_only_secrets(spark, docs):
 
 
 def test_filters_and_run(spark, docs):
-    kept = C.drop_undetermined(spark, docs.union(spark.createDataFrame([(9004, "123", "en", "s", 3)], docs.schema)), SF)
-    assert kept.where("doc_id = 9004").count() == 0 and kept.count() >= 0.98 * docs.count() and kept.columns == docs.columns
+    kept = C.drop_undetermined(spark, docs.union(spark.createDataFrame([(9004, "123", "en", "s", 3), (9005, "это русский текст", None, "s", 17), (9006, "qxjk wvbz kqxz", None, "s", 14)], docs.schema)), SF)
+    assert kept.where("doc_id between 9004 and 9006").count() == 0 and kept.count() >= 0.98 * docs.count() and kept.columns == docs.columns
     assert [n for n, _ in C.STAGES] == ["toxicity", "language", "near_copies", "secrets", "packing"]
     assert C.run(spark, SF).count() > 0
