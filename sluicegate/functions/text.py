@@ -29,9 +29,9 @@ def locate(raw: Column, match: Column) -> Column:
     return F.when(at > 0, F.substring(raw, at, F.length(match))).otherwise(match)
 
 
-def finish_evidence(label: Column, body: Column) -> Column:
-    """Label and body, redacted before the body is cut to 120 characters."""
-    return F.concat(label, F.substring(redact_secrets(body), 1, EVIDENCE_CHARS))
+def finish_evidence(label: Column, body: Column, most: int = EVIDENCE_CHARS) -> Column:
+    """Label and body, redacted before the body is cut to its first characters."""
+    return F.concat(label, F.substring(redact_secrets(body), 1, most))
 
 
 def lexical_form(text: Column) -> Column:
@@ -64,7 +64,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _bind(value: Column, f) -> Column:
+def bind(value: Column, f) -> Column:
     """f of a value that is computed once, however often f uses it inside lambdas."""
     return F.get(F.transform(F.array(value), f), 0)
 
@@ -74,8 +74,8 @@ def unit_vector(v: Column) -> Column:
     v = v.cast("array<double>")
     fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     largest = F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
-    scaled = _bind(F.struct(v.alias("v"), largest.alias("m")), lambda s: F.transform(s["v"], lambda x: x / s["m"]))
-    unit = _bind(scaled, lambda w: _bind(F.struct(w.alias("w"), F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x)).alias("n")), lambda s: F.transform(s["w"], lambda x: x / s["n"])))
+    scaled = bind(F.struct(v.alias("v"), largest.alias("m")), lambda s: F.transform(s["v"], lambda x: x / s["m"]))
+    unit = bind(scaled, lambda w: bind(F.struct(w.alias("w"), F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x)).alias("n")), lambda s: F.transform(s["w"], lambda x: x / s["n"])))
     return F.when(fine, unit)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,45 +36,57 @@ def _compiled(enabled) -> list[tuple[R.Rule, re.Pattern]]:
     return [(r, re.compile(python(r.search))) for r in R.INJECTION_RULES if enabled is None or r.family in enabled]
 
 
-def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
+@dataclass(frozen=True)
+class View:
+    """A text that rules of one surface read, and the stretch of it that a match must touch."""
 
+    surface: str
+    label: str
+    text: str
+    low: int
+    high: int
 
-def _crossing(pattern: re.Pattern, whole: str, tail: str, head: str) -> str | None:
-    """A match that needs both sides: what the two sides leave unchanged bounds the seam."""
-    left, right = _common(whole, tail), len(whole) - _common(whole[::-1], head[::-1])
-    low, high = min(left, right), max(left, right)
-    for m in pattern.finditer(whole):
-        if (m.start() < low < m.end()) if low == high else (m.start() < high and m.end() > low):
-            return m[0]
-    return None
+    @classmethod
+    def across(cls, surface: str, label: str, whole: str, tail: str, head: str) -> View:
+        """The seam lies between what the whole has in common with its sides as they fold alone; a match must reach into or over it."""
+        begun = len(os.path.commonprefix([whole, tail]))
+        ended = len(whole) - len(os.path.commonprefix([whole[::-1], head[::-1]]))
+        return cls(surface, label, whole, min(begun, ended), max(begun, ended))
+
+    def first(self, pattern: re.Pattern) -> str | None:
+        return next((m[0] for m in pattern.finditer(self.text) if m.start() < self.high and m.end() > self.low), None)
+
+
+def views(tail: str, head: str) -> tuple[list[View], list[str]]:
+    """What rules read of two neighbours, in the order of preference, and the limits that decoding hit.
+
+    The sides are joined by a line end and without one; encoded runs count where they span the seam.
+    """
+    sides = [fold(tail), fold(head)]
+    out, decoded, limits = [], [], []
+    for whole in (f"{tail}\n{head}", tail + head):
+        out.append(View.across(R.RAW, "", whole, tail, head))
+        for label, surface, *parts in zip(("", "[deobfuscated] "), fold(whole), *sides, strict=True):
+            if surface is not None:
+                out.append(View.across(R.CANONICAL, label, surface, *(p if p is not None else side[0] for p, side in zip(parts, sides, strict=True))))
+        segments, reasons = decode(whole)
+        limits += reasons
+        for s in segments:
+            if s["start"] < len(tail) < s["end"]:
+                shown = [(R.RAW, s["raw"]), (R.CANONICAL, s["canonical"]), (R.CANONICAL, s["deobfuscated"])]
+                decoded += [View(surface, f"[{s['label']}-decoded] ", text, 0, len(text) + 1) for surface, text in shown if text]
+    return out + decoded, list(dict.fromkeys(limits))
 
 
 def seam_hits(tail: str, head: str, rules: list[tuple[R.Rule, re.Pattern]]) -> tuple[list[dict], list[str]]:
-    wholes = (f"{tail}\n{head}", tail + head)
-    folded, (tail_c, tail_d), (head_c, head_d) = [fold(w) for w in wholes], fold(tail), fold(head)
-    decoded = [decode(w) for w in wholes]
-    views = []  # in the order of preference, for both kinds of rules
-    for w, (c, d) in zip(wholes, folded, strict=True):
-        views.append((R.RAW, "", w, tail, head))
-        views.append((R.CANONICAL, "", c, tail_c, head_c))
-        if d is not None:
-            views.append((R.CANONICAL, "[deobfuscated] ", d, tail_d or tail_c, head_d or head_c))
+    """Each rule's first hit over the seam, and the limits."""
+    seen, limits = views(tail, head)
     found = []
     for rule, pattern in rules:
-        for surface, label, whole, a, b in views:
-            if surface == rule.surface and (body := _crossing(pattern, whole, a, b)) is not None:
-                found.append({"family": rule.family, "severity": rule.severity, "label": label, "body": body})
-                break
-        else:
-            spanning = (s for segments, _ in decoded for s in segments if s["start"] < len(tail) < s["end"])
-            for s in spanning:
-                shown = [s["raw"]] if rule.surface == R.RAW else [s["canonical"], s["deobfuscated"] or ""]
-                if m := next(filter(None, map(pattern.search, shown)), None):
-                    found.append({"family": rule.family, "severity": rule.severity, "label": f"[{s['label']}-decoded] ", "body": m[0]})
-                    break
-    return found, list(dict.fromkeys(r for _, reasons in decoded for r in reasons))
+        hits = ((v.label, v.first(pattern)) for v in seen if v.surface == rule.surface)
+        if hit := next((h for h in hits if h[1] is not None), None):
+            found.append({"family": rule.family, "severity": rule.severity, "label": hit[0], "body": hit[1]})
+    return found, limits
 
 
 def scan_boundaries(chunks: DataFrame, source: str, order: str, window_chars: int = WINDOW_CHARS, enabled: frozenset[str] | None = None) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,32 +23,97 @@ def within_budget(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_chars
         raise ValueError(f"detector budget exceeded: {n} documents, longest {longest}, total {total}")
 
 
-def run_detector(docs: DataFrame, detect: Callable[[list[str]], list[float | None]]) -> DataFrame:
-    """``ordinal``, ``score``, ``status`` (ok, error): a batch that raises or answers badly is an error for all its rows."""
+@dataclass(frozen=True)
+class Detector:
+    """A model: ``load`` makes the scoring function once per worker; what it gives back is checked.
+
+    seconds: a batch that takes longer is an error (None: no limit).  max_tokens
+    and count: texts of more tokens are errors, as nothing is cut.  Provenance
+    and calibration hashes go with every run.
+    """
+
+    load: Callable[[], Callable[[list[str]], list]]
+    model: str = "unnamed"
+    config_sha256: str = "0" * 64
+    calibration_sha256: str = "0" * 64
+    seconds: float | None = None
+    max_tokens: int | None = None
+    count: Callable[[str], int] | None = None
+
+    def __post_init__(self):
+        if not 1 <= len(self.model) <= 256:
+            raise ValueError("the model's name must have 1 to 256 characters")
+        if not all(re.fullmatch("[0-9a-f]{64}", x) for x in (self.config_sha256, self.calibration_sha256)):
+            raise ValueError("hashes must be 64 hex digits")
+        if self.seconds is not None and not (math.isfinite(self.seconds) and self.seconds > 0):
+            raise ValueError("seconds must be positive")
+        if (self.max_tokens is None) != (self.count is None):
+            raise ValueError("a token limit needs a way to count tokens")
+
+
+def by_length(texts: list[str]) -> list[float]:
+    """A stand-in for a model, which the box has none of: scores that tests can state."""
+    return [len(t) % 97 / 96 for t in texts]
+
+
+def _valid(score) -> bool:
+    return not isinstance(score, bool) and isinstance(score, int | float) and 0 <= score <= 1
+
+
+def _answers(detector: Detector, detect, texts: list[str]) -> tuple[list, list[str]]:
+    """Scores and statuses of a batch: a batch that raises, is late or answers badly is an error for all its rows."""
+    fits = [detector.max_tokens is None or detector.count(t) <= detector.max_tokens for t in texts]
+    asked = [t for t, ok in zip(texts, fits, strict=True) if ok]
+    pool = ThreadPoolExecutor(1)
+    try:
+        got = pool.submit(detect, asked).result(detector.seconds) if asked else []
+        fine = len(got) == len(asked) and all(map(_valid, got))
+        why = "bad_answer"
+    except TimeoutError:
+        fine, why = False, "timeout"
+    except Exception as e:  # a model may raise anything; the rows stay unknown, and its words stay out
+        fine, why = False, type(e).__name__
+    pool.shutdown(wait=False)
+    given = iter(got if fine else [None] * len(asked))
+    scores = [next(given) if ok else None for ok in fits]
+    return scores, ["too_long" if not ok else "ok" if fine else why for ok in fits]
+
+
+def run_detector(docs: DataFrame, detector: Detector | Callable, max_documents: int = MAX_DOCUMENTS, max_chars: int = MAX_CHARS, max_total: int = MAX_TOTAL) -> DataFrame:
+    """``ordinal``, ``score``, ``status`` (ok, or the kind of error), ``model``.
+
+    The budgets are held to before anything is scored; beyond them this raises.
+    """
+    within_budget(docs, max_documents, max_chars, max_total)
+    made = detector if isinstance(detector, Detector) else Detector(lambda: detector)
 
     @F.arrow_udf("struct<score: double, status: string>")
-    def score(texts: pa.Array) -> pa.Array:
-        given = [t.as_py() or "" for t in texts]
-        try:
-            got = detect(given)
-            fine = len(got) == len(given) and all(x is not None and 0 <= x <= 1 for x in got)
-        except Exception:  # a model may raise anything; the rows stay unknown
-            fine = False
-        scores, status = (got, "ok") if fine else ([None] * len(given), "error")
-        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array([status] * len(given), pa.string())], ["score", "status"])
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        detect = made.load()
+        for texts in batches:
+            scores, status = _answers(made, detect, [t or "" for t in texts.to_pylist()])
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(status, pa.string())], ["score", "status"])
 
-    return docs.select("ordinal", score("text").alias("r")).select("ordinal", "r.*")
+    return docs.select("ordinal", score("text").alias("r")).select("ordinal", "r.*", F.lit(made.model).alias("model"))
 
 
-def detector_findings(scores: DataFrame, threshold: float, severity: str = "high") -> DataFrame:
-    """Findings of scored documents; an error is an incomplete scan."""
+def score_records(entries: DataFrame, decisions: DataFrame, scores: DataFrame) -> DataFrame:
+    """One record per entry: what rules decided and what the model scored; errors stay unknown."""
+    rules = decisions.select("ordinal", F.col("decision").alias("rule_decision"), F.col("families").alias("rule_families"), F.col("scan_complete").alias("rule_scan_complete"))
+    model = scores.select("ordinal", "score", "status", F.when(F.col("status") != "ok", F.col("status")).alias("error_type"))
+    own = entries.select("ordinal", "label", "category", "split", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("input_chars"))
+    return own.join(rules, "ordinal", "left").join(model, "ordinal", "left")
+
+
+def detector_findings(scores: DataFrame, threshold: float, severity: str = "high", places: int | None = None) -> DataFrame:
+    """Findings of scored documents; an error is an incomplete scan.  places: of scores in evidence, else six digits."""
     bad = F.col("status") != "ok"
     hit = scores.where(bad | (F.col("score") >= threshold))
     pick = lambda a, b: F.when(bad, a).otherwise(b)
     return hit.select(
         "ordinal", F.col("ordinal").cast("string").alias("document_id"), pick("scan_incomplete", "prompt_injection_in_document").alias("finding_type"), pick("high", severity).alias("severity"),
         pick("scan_incomplete", "semantic_prompt_injection").alias("family"), pick("", "LLM01").alias("owasp"),
-        pick("detector_error", F.concat(F.lit("[semantic detector] score="), F.format_string("%.6g", "score"))).alias("evidence"), pick("coverage-limit", "model-assessed").alias("confidence"),
+        pick(F.concat(F.lit("detector_"), F.col("status")), F.concat(F.lit("[semantic detector] score="), F.format_string("%.6g" if places is None else f"%.{places}f", "score"))).alias("evidence"), pick("coverage-limit", "model-assessed").alias("confidence"),
         F.lit(None).cast("string").alias("metadata_path"), F.array("ordinal").alias("related"), F.lit(2000).alias("seq"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -142,10 +143,47 @@ def leakage(rows: DataFrame, fields: list[str], split: str = "split") -> DataFra
 
 
 def condition_summary(records: DataFrame) -> DataFrame:
-    """records: ``case_id``, ``condition``, ``status``, ``task_success``, ``attack_success``."""
-    ok = F.col("status") == "ok"
+    """records: ``case_id``, ``condition``, ``status``, ``task_success``, ``attack_success``.
+
+    Rates are over valid cases, with their intervals; lower bounds are over all.
+    """
+    ok, every = F.col("status") == "ok", F.count(F.lit(1))
     n, tasks, attacks = F.count_if(ok), F.count_if(ok & F.col("task_success")), F.count_if(ok & F.col("attack_success"))
-    return records.groupBy("condition").agg(F.count(F.lit(1)).alias("cases"), n.alias("valid"), F.count_if(~ok).alias("errors"), ratio(tasks, n).alias("task_rate"), ratio(attacks, n).alias("attack_rate"))
+    (low, high), (attack_low, attack_high) = wilson(tasks, n), wilson(attacks, n)
+    return records.groupBy("condition").agg(
+        every.alias("cases"), n.alias("valid"), F.count_if(~ok).alias("errors"), ratio(tasks, n).alias("task_rate"), ratio(attacks, n).alias("attack_rate"),
+        ratio(tasks, every).alias("task_least"), low.alias("task_low"), high.alias("task_high"),
+        ratio(attacks, every).alias("attack_least"), attack_low.alias("attack_low"), attack_high.alias("attack_high"),
+    )
+
+
+def coverage(records: DataFrame) -> DataFrame:
+    """One row: ``total``, ``scored``, ``unknown``, ``errors`` of records (``decision``, ``scan_complete``, ``error_type``)."""
+    done = F.coalesce(F.col("scan_complete"), F.lit(False)) & F.col("error_type").isNull()
+    return records.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("scored"), F.count_if(~done).alias("unknown"), F.count_if(F.col("error_type").isNotNull()).alias("errors"))
+
+
+def case_lists(records: DataFrame, key: str = "ordinal") -> DataFrame:
+    """``list``, ``key`` of cases that a report names: missed, unknown, false_positive, false_block."""
+    done = F.coalesce(F.col("scan_complete"), F.lit(False)) & F.col("decision").isNotNull() & (F.col("decision") != "unknown")
+    kinds = F.array(
+        F.when(~done, "unknown"), F.when(done & _is("attack") & (F.col("decision") == "accept"), "missed"),
+        F.when(done & _is("benign") & (F.col("decision") != "accept"), "false_positive"), F.when(done & _is("benign") & (F.col("decision") == "reject"), "false_block"),
+    )
+    return records.select(F.explode(F.array_compact(kinds)).alias("list"), key)
+
+
+def groups_per_split(entries: DataFrame, group: str = "split_group", split: str = "split") -> DataFrame:
+    return entries.groupBy(split).agg(F.count_distinct(group).alias("groups"), F.count(F.lit(1)).alias("entries"))
+
+
+def state_counts(records: DataFrame, arm: str, state: str, states: tuple[str, ...]) -> DataFrame:
+    """Cases of each arm in each of the stated execution states."""
+    return records.groupBy(arm).agg(*(F.count_if(F.col(state) == s).alias(s) for s in states))
+
+
+def error_counts(records: DataFrame, error: str = "error_type") -> DataFrame:
+    return records.where(F.col(error).isNotNull()).groupBy(error).agg(F.count(F.lit(1)).alias("n"))
 
 
 def paired(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -162,13 +200,31 @@ def paired(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def mode_summary(scores: DataFrame, threshold: float) -> DataFrame:
-    """Rules, model and either, side by side: counters of scored rows (``rule_decision``, ``score``, ``label``)."""
+    """Rules, model and either, side by side: counters of scored rows (``rule_decision``, ``score``, ``label``), rates over all, their upper bounds."""
     rule = F.col("rule_decision") != "accept"
     model = F.when(F.col("score").isNotNull(), F.col("score") >= threshold)
     modes = F.array(*(F.struct(F.lit(k).alias("mode"), v.alias("flagged")) for k, v in (("rules", rule), ("model", model), ("combined", F.when(rule, True).otherwise(model)))))
     rows = scores.select("label", F.explode(modes).alias("m")).select("label", "m.*")
     hit = lambda label: F.count_if(_is(label) & F.col("flagged"))
-    return rows.groupBy("mode").agg(hit("attack").alias("tp"), hit("benign").alias("fp"), F.count_if(F.col("flagged").isNull()).alias("withheld"), ratio(hit("attack"), F.count_if(_is("attack"))).alias("detection"), ratio(hit("benign"), F.count_if(_is("benign"))).alias("false_positive"))
+    most = lambda label: F.count_if(_is(label) & F.coalesce("flagged", F.lit(True)))
+    attacks, benigns = F.count_if(_is("attack")), F.count_if(_is("benign"))
+    return rows.groupBy("mode").agg(
+        hit("attack").alias("tp"), hit("benign").alias("fp"), F.count_if(F.col("flagged").isNull()).alias("withheld"), ratio(hit("attack"), attacks).alias("detection"),
+        ratio(hit("benign"), benigns).alias("false_positive"), ratio(most("attack"), attacks).alias("detection_most"), ratio(most("benign"), benigns).alias("false_positive_most"),
+    )
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the folder that ``spark.checkpoint.dir`` names; on one machine without it, a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="sluicegate-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def shared_word_components(items: DataFrame) -> DataFrame:
@@ -178,7 +234,7 @@ def shared_word_components(items: DataFrame) -> DataFrame:
     while True:
         heads = ways.join(labels, "item").groupBy("word").agg(F.min("component").alias("least"))
         new = labels.join(ways.join(heads, "word").groupBy("item").agg(F.min("least").alias("least")), "item", "left").select("item", F.least("component", F.coalesce("least", "component")).alias("next"), "component")
-        new = new.checkpoint() if items.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = cut(new)
         if not new.where("next <> component").limit(1).count():
             return new.select("item", F.col("next").alias("component"))
         labels = new.select("item", F.col("next").alias("component"))

@@ -31,8 +31,9 @@ class Policy:
         if self.blocking and R.SEVERITY_RANK[self.floor] > min(R.SEVERITY_RANK[s] for s in self.blocking):
             raise ValueError("the floor is above a blocking severity")
 
-    def fingerprint(self) -> str:
-        shape = {"auto_reject": self.auto_reject, "blocking": sorted(self.blocking), "floor": self.floor, "family_actions": self.family_actions}
+    def fingerprint(self, scanner: dict | None = None, detector: dict | None = None) -> str:
+        """SHA-256 of the policy, and of the settings of the scanner and the detector where they are given."""
+        shape = {"auto_reject": self.auto_reject, "blocking": sorted(self.blocking), "floor": self.floor, "family_actions": self.family_actions, "scanner": scanner, "detector": detector}
         return hashlib.sha256(json.dumps(shape, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
@@ -110,17 +111,33 @@ def with_successors(findings: DataFrame) -> DataFrame:
 
 
 def release(decisions: DataFrame, policy: Policy, boundary: str = "ingestion", allow_review: bool = False, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """The gate: text only where the scan is complete and the decision allows it; fingerprints always."""
+    """The gate: text only where the scan is complete and the decision allows it; fingerprints always.
+
+    A text of over ``max_chars`` characters raises when it is read.
+    """
     if boundary not in BOUNDARIES:
         raise ValueError(f"unknown boundary {boundary}")
     fits = F.coalesce(F.length("text"), F.lit(0)) <= max_chars
-    ok = F.col("scan_complete") & fits & (F.col("decision") != "reject") & ((F.col("decision") != "review") | F.lit(allow_review))
+    fits = F.when(fits, True).otherwise(F.raise_error(F.lit(f"text is longer than {max_chars} characters")).cast("boolean"))
+    ok = fits & F.col("scan_complete") & (F.col("decision") != "reject") & ((F.col("decision") != "review") | F.lit(allow_review))
     return decisions.select(
         "ordinal", F.lit(boundary).alias("boundary"), "decision", "families", ok.alias("released"), F.when(ok, F.col("text")).alias("released_text"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256"), F.lit(policy.fingerprint()).alias("policy_sha256"),
     )
 
 
+def matches_text(content_sha256: Column, text: Column) -> Column:
+    """Whether a fingerprint is that of exactly this text."""
+    return content_sha256 == F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def release_enforced(decisions: DataFrame, policy: Policy, mode: str, **more) -> DataFrame:
+    """``enforce``: reviews are withheld; ``monitor``: they are released."""
+    if mode not in ("enforce", "monitor"):
+        raise ValueError(f"unknown mode {mode}")
+    return release(decisions, policy, allow_review=mode == "monitor", **more)
+
+
 def request_summary(decisions: DataFrame, request: str, max_documents: int = 64) -> DataFrame:
     """Strictest decision, families and release of all documents of a request; too many documents are never released."""
     rank = F.array_position(F.array(*(F.lit(a) for a in ACTIONS)), F.col("decision")) - 1

@@ -12,48 +12,58 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sluicegate.functions import rules as R
 from sluicegate.functions import text as T
-from sluicegate.functions.surfaces import with_surfaces
+from sluicegate.functions.surfaces import Limits, with_surfaces
 
-SCAN_FACTOR = 16
-MAX_NODES, MAX_CHARS, MAX_DEPTH = 10_000, 1_000_000, 64
 #: Columns of findings, in order.
 FINDING_COLUMNS = ["ordinal", "document_id", "finding_type", "severity", "family", "owasp", "evidence", "confidence", "metadata_path", "related", "seq"]
+_NONE = "array<string>"
 
 
-def _all(surface: Column, pattern: str, cap: int) -> Column:
+def _all(surface: Column, pattern: str, most: int) -> Column:
     """Distinct matches among the first that are looked at."""
-    found = F.when(surface.rlike(pattern), F.slice(F.regexp_extract_all(surface, F.lit(pattern), F.lit(0)), 1, SCAN_FACTOR * cap))
-    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+    found = F.when(surface.rlike(pattern), F.slice(F.regexp_extract_all(surface, F.lit(pattern), F.lit(0)), 1, most))
+    return F.array_distinct(F.coalesce(found, F.array().cast(_NONE)))
 
 
 def _labelled(label: Column, matches: Column) -> Column:
     return F.transform(matches, lambda m: F.struct(label.alias("label"), m.alias("body")))
 
 
-def _of_surfaces(rule: R.Rule, raw: Column, canonical: Column, plain: Column, cap: int, label: Column) -> Column:
+def _of_surfaces(rule: R.Rule, raw: Column, canonical: Column, plain: Column, most: int, label: Column) -> Column:
     """(label, body) of a rule's matches: canonical first, deobfuscated where it adds some."""
     if rule.surface == R.RAW:
-        return _labelled(label, _all(raw, rule.search, cap))
-    first = _all(canonical, rule.search, cap)
-    more = F.array_except(F.coalesce(_all(plain, rule.search, cap), F.array().cast("array<string>")), first)
+        return _labelled(label, _all(raw, rule.search, most))
+    first = _all(canonical, rule.search, most)
+    more = F.array_except(_all(plain, rule.search, most), first)
     return F.concat(_labelled(label, first), _labelled(F.concat(label, F.lit("[deobfuscated] ")), more))
 
 
-def evidence(rule: R.Rule, raw: Column, surfaces: Column, cap: int) -> Column:
+def evidence(rule: R.Rule, raw: Column, surfaces: Column, cap: int, limits: Limits = Limits()) -> Column:
     """Up to ``cap`` finished pieces of evidence of one rule, body before decoded segments."""
-    own = F.transform(_of_surfaces(rule, raw, surfaces["canonical"], surfaces["deobfuscated"], cap, F.lit("")), lambda e: F.struct(e["label"].alias("label"), F.when(e["label"] == "", T.locate(raw, e["body"])).otherwise(e["body"]).alias("body")))
+    most = limits.looked_at * cap
+    own = F.transform(_of_surfaces(rule, raw, surfaces["canonical"], surfaces["deobfuscated"], most, F.lit("")), lambda e: F.struct(e["label"].alias("label"), F.when(e["label"] == "", T.locate(raw, e["body"])).otherwise(e["body"]).alias("body")))
     found = own
     if rule.group == R.INJECTION:
         tagged = lambda s: F.concat(F.lit("["), s["label"], F.lit("-decoded] "))
-        found = F.concat(own, F.flatten(F.transform(surfaces["segments"], lambda s: _of_surfaces(rule, s["raw"], s["canonical"], s["deobfuscated"], cap, tagged(s)))))
-    done = F.array_distinct(F.transform(found, lambda e: T.finish_evidence(e["label"], e["body"])))
+        decoded = F.flatten(F.transform(surfaces["segments"], lambda s: _of_surfaces(rule, s["raw"], s["canonical"], s["deobfuscated"], most, tagged(s))))
+        found = F.when(F.size(surfaces["segments"]) > 0, F.concat(own, decoded)).otherwise(own)
+    done = F.array_distinct(F.transform(found, lambda e: T.finish_evidence(e["label"], e["body"], limits.evidence_chars)))
     if rule.family == "metadata_credential_leak":
         done = F.when(F.size(done) > 0, F.array(F.lit(T.REDACTED_CREDENTIAL))).otherwise(done)
     return F.slice(done, 1, cap)
 
 
+def presence(rule: R.Rule, raw: Column, surfaces: Column) -> Column:
+    """Whether a rule matches anywhere: one look at each surface, and no evidence."""
+    read = lambda s, own: [own] if rule.surface == R.RAW else [s["canonical"], s["deobfuscated"]]
+    found = T.any_of([F.coalesce(x.rlike(rule.search), F.lit(False)) for x in read(surfaces, raw)])
+    if rule.group == R.INJECTION:
+        found = found | F.exists(surfaces["segments"], lambda s: T.any_of([F.coalesce(x.rlike(rule.search), F.lit(False)) for x in read(s, s["raw"])]))
+    return found
+
+
 def _composite(surfaces: Column, rule: R.Rule, base: R.Rule) -> Column:
-    both = lambda s: s.rlike(base.search) & s.rlike(rule.search)
+    both = lambda s: s.rlike(rule.search) & s.rlike(base.search)
     return F.coalesce(both(surfaces["canonical"]), F.lit(False)) | F.coalesce(both(surfaces["deobfuscated"]), F.lit(False))
 
 
@@ -64,16 +74,28 @@ def _hit(k: int, kind: str, rule: R.Rule):
     )
 
 
-def rule_hits(raw: Column, surfaces: Column, chosen: list[R.Rule], cap: int = 1, origin: str | None = None) -> Column:
-    """Array of (seq, finding_type, family, severity, owasp, evidence) of all rules, in one projection."""
-    every = []
-    for k, rule in enumerate(chosen):
-        if rule is R.COMPOSITE:
-            kind, shown = "canonical_injection", F.when(_composite(surfaces, rule, R.BY_FAMILY["instruction_override"]), F.array(F.lit("override combined with an enumerated instruction"))).otherwise(F.array().cast("array<string>"))
-        else:
-            kind, shown = R.FINDING_TYPES[origin or rule.group], evidence(rule, raw, surfaces, cap)
-        every.append(F.transform(shown, _hit(k, kind, rule)))
-    return F.concat(*every)
+def rule_hits(raw: Column, surfaces: Column, chosen: list[R.Rule], cap: int = 1, origin: str | None = None, limits: Limits = Limits(), shown: bool = True) -> Column:
+    """Array of (seq, finding_type, family, severity, owasp, evidence) of all rules, in one projection.
+
+    Surfaces are bound before rules read them, so that each is made once however
+    many rules there are.  shown: with evidence; without it, a rule that matches
+    gives one hit.
+    """
+
+    def of(s):
+        every = []
+        for k, rule in enumerate(chosen):
+            if rule is R.COMPOSITE:
+                kind, said = "canonical_injection", F.lit("override combined with an enumerated instruction" if shown else "")
+                found = F.when(_composite(s["surfaces"], rule, R.BY_FAMILY["instruction_override"]), F.array(said))
+            elif shown:
+                kind, found = R.FINDING_TYPES[origin or rule.group], evidence(rule, s["raw"], s["surfaces"], cap, limits)
+            else:
+                kind, found = R.FINDING_TYPES[origin or rule.group], F.when(presence(rule, s["raw"], s["surfaces"]), F.array(F.lit("")))
+            every.append(F.transform(F.coalesce(found, F.array().cast(_NONE)), _hit(k, kind, rule)))
+        return F.concat(*every)
+
+    return T.bind(F.struct(raw.alias("raw"), surfaces.alias("surfaces")), of)
 
 
 def _limit_hits(reasons: Column) -> Column:
@@ -93,14 +115,21 @@ def _long(df: DataFrame, hits: Column, path: Column | None = None) -> DataFrame:
     )
 
 
-def scan_documents(docs: DataFrame, *, injection: bool = True, metadata: bool = True, splits: bool = True, enabled: frozenset[str] | None = None, cap: int = 1) -> DataFrame:
-    """Findings, long: ``FINDING_COLUMNS``.
+def scan_documents(
+    docs: DataFrame, *, injection: bool = True, metadata: bool = True, splits: bool = True, enabled: frozenset[str] | None = None,
+    cap: int = 1, shown: bool = True, rules: tuple[R.Rule, ...] = R.ALL_RULES, limits: Limits = Limits(),
+) -> DataFrame:
+    """Findings, long: ``FINDING_COLUMNS``; ``seq`` orders those of a document.
 
     docs: ``ordinal``, ``id``, ``text``, and optionally ``metadata`` (JSON).
     Switches and names are resolved when the plan is built, so that disabled
     work is not in it; without an injection rule nothing is decoded or limited.
+    shown: with evidence; decisions don't need it, and without it a rule costs
+    one look and gives one finding.  rules: the table, which callers may extend.
     """
-    chosen = R.select_rules(enabled)
+    if isinstance(cap, bool) or cap < 1:
+        raise ValueError("cap must be positive")
+    chosen = R.select_rules(enabled, rules)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumn("document_id", T.document_id(F.col("id"), F.col("text")))
     body = [r for r in chosen if (injection and r.group == R.INJECTION) or (splits and r.group == R.SPLIT)]
@@ -108,13 +137,13 @@ def scan_documents(docs: DataFrame, *, injection: bool = True, metadata: bool =
         body.remove(R.COMPOSITE)
     parts = []
     if body:
-        seen = with_surfaces(base.select("ordinal", "document_id", text.alias("text")))
-        hits = rule_hits(F.col("text"), F.col("surfaces"), body, cap)
+        seen = with_surfaces(base.select("ordinal", "document_id", text.alias("text")), limits=limits)
+        hits = rule_hits(F.col("text"), F.col("surfaces"), body, cap, limits=limits, shown=shown)
         if any(r.group == R.INJECTION for r in body):
             hits = F.concat(_limit_hits(F.col("surfaces.reasons")), hits)
         parts.append(_long(seen, hits))
     if metadata and "metadata" in docs.columns and any(r.group in (R.INJECTION, R.METADATA) for r in chosen):
-        parts.append(scan_metadata(base, chosen, cap))
+        parts.append(scan_metadata(base, chosen, cap, limits))
     if not parts:
         empty = base.withColumn("_none", F.array().cast("array<struct<seq:int,finding_type:string,family:string,severity:string,owasp:string,evidence:string>>"))
         return _long(empty, F.col("_none"))
@@ -133,7 +162,7 @@ class _Limit(Exception):
     pass
 
 
-def leaves_of(document: str, max_nodes: int = MAX_NODES, max_chars: int = MAX_CHARS) -> tuple[list[tuple[str, str, str]], str | None]:
+def leaves_of(document: str, max_nodes: int = Limits.metadata_nodes, max_chars: int = Limits.metadata_chars, max_depth: int = Limits.metadata_depth) -> tuple[list[tuple[str, str, str]], str | None]:
     """(pointer, key, value) of all leaves of a JSON object in reading order, and the limit that ended the walk."""
     found: list[tuple[str, str, str]] = []
     left = {"nodes": max_nodes, "chars": max_chars}
@@ -144,7 +173,7 @@ def leaves_of(document: str, max_nodes: int = MAX_NODES, max_chars: int = MAX_CH
             raise _Limit(reason)
 
     def walk(x, path: str, key: str, depth: int) -> None:
-        if depth > MAX_DEPTH:
+        if depth > max_depth:
             raise ValueError("metadata is nested too deeply")
         pay("nodes", 1, "metadata_node_limit")
         if isinstance(x, dict | list):
@@ -170,15 +199,18 @@ def leaves_of(document: str, max_nodes: int = MAX_NODES, max_chars: int = MAX_CH
     return found, None
 
 
-@F.arrow_udf(_LEAVES)
-def _leaves(documents: pa.Array) -> pa.Array:
-    rows, reasons = [], []
-    for x in documents:
-        found, reason = leaves_of(x.as_py()) if x.as_py() else ([], None)
-        rows.append([{"path": p, "key": k, "value": v, "credential": None} for p, k, v in found])
-        reasons.append(reason)
-    kind = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "key", "value", "credential")]))
-    return pa.StructArray.from_arrays([pa.array(rows, kind), pa.array(reasons, pa.string())], ["leaves", "reason"])
+def _leaves(limits: Limits):
+    @F.arrow_udf(_LEAVES)
+    def run(documents: pa.Array) -> pa.Array:
+        rows, reasons = [], []
+        for x in documents:
+            found, reason = leaves_of(x.as_py(), limits.metadata_nodes, limits.metadata_chars, limits.metadata_depth) if x.as_py() else ([], None)
+            rows.append([{"path": p, "key": k, "value": v, "credential": None} for p, k, v in found])
+            reasons.append(reason)
+        kind = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "key", "value", "credential")]))
+        return pa.StructArray.from_arrays([pa.array(rows, kind), pa.array(reasons, pa.string())], ["leaves", "reason"])
+
+    return run
 
 
 def redact_path(path: Column) -> Column:
@@ -194,20 +226,21 @@ def redact_path(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, start, add, lambda acc: acc["out"]), "/")
 
 
-def scan_metadata(docs: DataFrame, chosen: tuple[R.Rule, ...], cap: int = 1) -> DataFrame:
+def scan_metadata(docs: DataFrame, chosen: tuple[R.Rule, ...], cap: int = 1, limits: Limits = Limits()) -> DataFrame:
     """Findings of metadata: every leaf as "key: value" against injection and metadata rules, and credential names."""
     use = [r for r in chosen if r.group in (R.INJECTION, R.METADATA) and r is not R.COMPOSITE]
-    walked = docs.select("ordinal", "document_id", _leaves("metadata").alias("m"))
+    walked = docs.select("ordinal", "document_id", _leaves(limits)("metadata").alias("m"))
     leaves = walked.select("ordinal", "document_id", F.posexplode("m.leaves").alias("place", "leaf"))
     leaves = leaves.withColumn("text", F.when(F.col("leaf.key") == "", F.col("leaf.value")).otherwise(F.concat_ws(": ", "leaf.key", "leaf.value")))
-    seen = with_surfaces(leaves)
+    seen = with_surfaces(leaves, limits=limits)
     leak = R.BY_FAMILY["metadata_credential_leak"]
     below = F.exists(F.split("leaf.path", "/"), lambda p: p.rlike(_CREDENTIAL_KEY))
-    hits = F.concat(_limit_hits(F.col("surfaces.reasons")), rule_hits(F.col("text"), F.col("surfaces"), use, cap, origin=R.METADATA))
+    hits = F.concat(_limit_hits(F.col("surfaces.reasons")), rule_hits(F.col("text"), F.col("surfaces"), use, cap, R.METADATA, limits))
     if leak in use:
         extra = F.array(F.struct(F.lit(len(use)).alias("seq"), F.lit("metadata_injection").alias("finding_type"), F.lit(leak.family).alias("family"), F.lit(leak.severity).alias("severity"), F.lit(leak.owasp).alias("owasp"), F.lit("").alias("evidence")))
         named = below & (F.col("leaf.value") != "") & ~F.exists(hits, lambda h: h["family"] == leak.family)
         hits = F.concat(hits, F.when(named, extra).otherwise(F.slice(extra, 1, 0)))
+    # in the order of leaves, and of the rules of a leaf
     masked = F.transform(hits, lambda h: F.when(below & (h["family"] != "scan_incomplete"), h.withField("evidence", F.lit(T.REDACTED_METADATA))).otherwise(h))
     found = _long(seen, masked, redact_path(F.col("leaf.path"))).withColumn("seq", 1000 + F.col("seq"))
     limited = walked.where("m.reason is not null")

@@ -45,10 +45,15 @@ def documents(rows: DataFrame, order_by: list[str] | None = None, text: str = "t
 
 
 def with_ordinal(rows: DataFrame, order_by: list[str]) -> DataFrame:
-    """Add ``_ordinal``, 0-based in the given order: sort by range, then add what earlier partitions hold."""
+    """Add ``_ordinal``, 0-based in the given order: sort by range, then add what earlier partitions hold.
+
+    The sorted rows are cut off from their plan once, so that both reads of them see the same partitions.
+    """
     from pyspark.sql.window import Window
 
-    placed = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_part", F.spark_partition_id())
+    from sluicegate.operators.metrics import cut
+
+    placed = cut(rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_part", F.spark_partition_id()))
     per = placed.groupBy("_part").count()
     first = per.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_first"))
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
@@ -79,18 +84,25 @@ def checked(entries: DataFrame, chunked: bool = False) -> tuple[DataFrame, DataF
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: count and an order-free SHA-256 of canonical rows, whatever their number.
 
-    Each row's hash is summed by its first hex digits in buckets, and the ordered
-    bucket sums are hashed: no task holds all rows.
+    All 240 bits of a row's hash but the first 8 and last 8 are summed, in four
+    parts, by its first hex digits; the ordered sums are hashed: no task holds all rows.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-    part = F.conv(F.substring(row, 9, 8), 16, 10).cast("decimal(20,0)")
-    buckets = rows.select(F.substring(row, 1, 2).alias("b"), part.alias("p")).groupBy("b").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n"))
-    listed = F.array_sort(F.collect_list(F.concat_ws(":", "b", F.col("s").cast("string"), F.col("n").cast("string"))))
+    parts = [F.sum(F.conv(F.substring("r", 3 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    buckets = rows.select(row.alias("r")).groupBy(F.substring("r", 1, 2).alias("b")).agg(F.concat_ws("-", *parts).alias("s"), F.count(F.lit(1)).alias("n"))
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", "b", "s", F.col("n").cast("string"))))
     return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(listed, ","), 256).alias("sha256"))
 
 
+#: What a manifest says of where a corpus comes from.
+_PROVENANCE = ("kind", "source", "license", "collection_method")
+
+
 def verify_manifest(entries: DataFrame, manifest: dict, columns: list[str]) -> None:
-    """Raise unless the holdout's count and digest are those of the manifest."""
+    """Raise unless the manifest says where the corpus comes from and its holdout has that count and digest."""
+    told = manifest.get("provenance", {})
+    if missing := [k for k in _PROVENANCE if not str(told.get(k) or "").strip()]:
+        raise ValueError(f"manifest lacks provenance: {missing}")
     got = digest(entries.where("split = 'holdout'"), columns).first()
     if (got["n"], got["sha256"]) != (manifest["holdout_count"], manifest["holdout_sha256"]):
         raise ValueError(f"holdout differs from the manifest: {got['n']} rows, {got['sha256']}")
