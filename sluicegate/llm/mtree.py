@@ -128,7 +128,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
         return at, d[np.arange(len(x)), at]
 
     assigned = vectors.deal(rows, nearest)
-    lists = vectors.Lists.of(assigned, len(pivot), n)
+    lists = vectors.Lists.of(assigned, pivot, n, every)
 
     def route(batches):
         for b in batches:
@@ -141,8 +141,8 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
             reach = np.where(floor > _NONE, np.sqrt(np.maximum((q * q).sum(1) + top - 2 * floor.astype(float), 0)), np.inf) + slack
             to = distances(q, np.zeros(len(q)), pivot, p_extra)
             admitted = np.maximum(to - lists.most, lists.least - to) <= reach[:, None]
-            units = [lists.units_of(np.flatnonzero(a)) for a in admitted]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors.query_key(qid, q)), b.column(0), b.column(1), pa.array(floor, pa.int64()), pa.array(units, pa.list_(pa.int32()))], ["qkey", "qid", "qv", "floor", "units"])
+            places = [lists.units_of(np.flatnonzero(a)) for a in admitted]
+            yield vectors.sent(vectors.query_key(qid, q), b, pa.array(floor, pa.int64()), places)
 
     def scan(held: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
@@ -156,4 +156,4 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
             out = [qkey[r], qid[r], ids[r, c], scores[r, c]]
         return pa.table(out or [pa.array([], pa.int64())] * 4, names=["qkey", "qid", "id", "score"])
 
-    return vectors.search(assigned, lists, every, route, "qkey long, qid long, qv array<double>, floor long, units array<int>", scan, "long", k, n_queries)
+    return vectors.search(assigned, lists, every, route, scan, "long", k)

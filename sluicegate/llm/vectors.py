@@ -1,9 +1,11 @@
 """What the vector searches share: valid rows, samples, units of lists, merging.
 
-Vectors are dealt to lists by their nearest pivot, and large lists are cut by a
-hash of the id, so that no unit of work grows with a list.  Queries are a stated
-part of the rows; each goes to the units its list bounds admit, in blocks of
-bounded size, and the best of all units are merged.
+Vectors are dealt to lists by their nearest pivot.  Large lists are cut by a
+hash of the id, and small ones may share a unit, so that no unit of work grows
+with a list.  Queries are a stated part of the rows; each goes to the units its
+list bounds admit, in blocks of bounded size of queries that are near each
+other.  A unit's rows are copied only for the blocks that some query of theirs
+sends there, and the best of all units are merged.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql.window import Window
 from sluicegate.llm.common import as_table
 
 #: Bound of the sample that pivots and first bounds come from, in rows.
-SAMPLE_ROWS = 2048
+SAMPLE_ROWS = 4096
 #: Bounds of a unit's rows and of a block of queries.
 UNIT_ROWS, QUERY_ROWS = 8192, 2048
 
@@ -51,30 +53,68 @@ def sample(rows: DataFrame, n: int, size: int = SAMPLE_ROWS) -> tuple[np.ndarray
     return np.array([r["id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)
 
 
+def along_a_line(pivots: np.ndarray) -> np.ndarray:
+    """Order of pivots by their first principal component: near ones mostly stand near each other."""
+    centred = pivots - pivots.mean(0)
+    return np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+
+
 @dataclass
 class Lists:
-    """Rows of each list cut into units."""
+    """Rows of each list dealt to units, and its queries to blocks."""
 
     base: np.ndarray  # first unit of each list
     units: np.ndarray  # units of each list
     counts: np.ndarray
     least: np.ndarray  # distances to the pivot
     most: np.ndarray
+    first_block: np.ndarray
+    blocks: np.ndarray  # blocks of each list's queries
 
     @classmethod
-    def of(cls, assigned: DataFrame, n_lists: int, n: int) -> Lists:
-        got = {r["list"]: r for r in assigned.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("a"), F.max("dist").alias("b")).collect()}
-        counts = np.array([got[k]["n"] if k in got else 0 for k in range(n_lists)], np.int64)
+    def of(cls, assigned: DataFrame, pivots: np.ndarray, n: int, every: int, share_units: bool = False) -> Lists:
+        """share_units: lists that are small go to one unit with their neighbours."""
+        per = assigned.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.pmod("id", F.lit(every)) == 0).alias("q"), F.min("dist").alias("a"), F.max("dist").alias("b"))
+        got = {r["list"]: r for r in per.collect()}
+        pick = lambda name, none: np.array([got[k][name] if k in got else none for k in range(len(pivots))])
+        counts, line = pick("n", 0).astype(np.int64), along_a_line(pivots)
         limit = min(UNIT_ROWS, max(128, n // 64))
-        units = np.maximum(1, -(-counts // limit))
-        return cls(np.cumsum(units) - units, units, counts, np.array([got[k]["a"] if k in got else np.inf for k in range(n_lists)]), np.array([got[k]["b"] if k in got else -np.inf for k in range(n_lists)]))
-
-    def unit(self, df: DataFrame) -> Column:
-        pick = lambda x: F.element_at(F.lit([int(y) for y in x]), F.col("list") + 1)
-        return (pick(self.base) + F.pmod(F.xxhash64("id", F.lit(3)), pick(self.units).cast("long"))).cast("int")
-
-    def units_of(self, lists) -> list[int]:
-        return [u for k in lists if self.counts[k] for u in range(int(self.base[k]), int(self.base[k] + self.units[k]))]
+        base, units = cls._dealt(counts, line, limit, share_units)
+        first_block, blocks = cls._dealt(pick("q", 0).astype(np.int64), line, QUERY_ROWS, True)
+        return cls(base, units, counts, pick("a", np.inf).astype(float), pick("b", -np.inf).astype(float), first_block, blocks)
+
+    @staticmethod
+    def _dealt(counts: np.ndarray, line: np.ndarray, limit: int, shared: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of each list the first of the bins that its rows go to, and their number; several lists share a bin while they fit."""
+        parts = np.maximum(1, -(-counts // limit))
+        first, number, held = np.zeros(len(counts), np.int64), 0, limit + 1
+        for k in line.tolist():
+            if not shared or parts[k] > 1 or held + counts[k] > limit:
+                first[k], held = number, counts[k] if parts[k] == 1 else limit + 1
+                number += int(parts[k])
+            else:
+                first[k] = number - 1
+                held += counts[k]
+        return first, parts
+
+    @staticmethod
+    def _pick(values: np.ndarray, at: str) -> Column:
+        return F.element_at(F.lit([int(y) for y in values]), F.col(at) + 1)
+
+    def unit(self) -> Column:
+        return (self._pick(self.base, "list") + F.pmod(F.xxhash64("id", F.lit(3)), self._pick(self.units, "list").cast("long"))).cast("int")
+
+    def block(self) -> Column:
+        return (self._pick(self.first_block, "home") + F.pmod(F.col("qkey"), self._pick(self.blocks, "home").cast("long"))).cast("int")
+
+    def units_of(self, lists) -> dict[int, list[int]]:
+        """The units that hold rows of some lists, and which of the lists."""
+        out: dict[int, list[int]] = {}
+        for k in lists:
+            if self.counts[k]:
+                for u in range(int(self.base[k]), int(self.base[k] + self.units[k])):
+                    out.setdefault(u, []).append(int(k))
+        return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +123,31 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def search(assigned: DataFrame, lists: Lists, every: int, route, route_schema: str, scan, score_type: str, k: int, n_queries: int) -> DataFrame:
+def sent(qkey: np.ndarray, batch: pa.RecordBatch, floor: pa.Array, places: list[dict[int, list[int]]]) -> pa.RecordBatch:
+    """A row for each query and each unit that it goes to.  batch: id, vector, list of queries; floor: their k-th best known."""
+    at = pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places]))
+    units = pa.array([u for p in places for u in p], pa.int32())
+    lists = pa.array([k for p in places for k in p.values()], pa.list_(pa.int32()))
+    names = ["qkey", "qid", "qv", "home", "floor", "unit", "lists"]
+    return pa.RecordBatch.from_arrays([pa.array(qkey).take(at), *(batch.column(k).take(at) for k in range(3)), floor.take(at), units, lists], names)
+
+
+def search(assigned: DataFrame, lists: Lists, every: int, route, scan, score_type: str, k: int) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``.
 
     assigned: ``id``, ``v``, ``list``, ``dist``.  route: mapInArrow function from
-    ``qid``, ``v`` to rows of ``route_schema`` with an array ``units``.  scan:
-    best hits of a unit's rows and a block of queries.
+    ``qid``, ``v``, ``home`` to rows of ``sent``.  scan: best hits of a unit's
+    rows and a block of queries.
     """
-    blocks = max(1, -(-n_queries // QUERY_ROWS))
-    held = assigned.withColumn("unit", lists.unit(assigned)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = assigned.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).select(F.col("id").alias("qid"), "v").mapInArrow(route, route_schema)
-    queries = queries.withColumn("unit", F.explode("units")).drop("units").withColumn("block", F.pmod(F.col("qkey"), F.lit(blocks)).cast("int"))
+    rows = assigned.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).select(F.col("id").alias("qid"), "v", F.col("list").alias("home"))
+    schema = f"qkey long, qid long, qv array<double>, home int, floor {score_type}, unit int, lists array<int>"
+    queries = as_table(rows.mapInArrow(route, schema).withColumn("block", lists.block()))
+    held = assigned.withColumn("unit", lists.unit())
+    if int((lists.first_block + lists.blocks).max()) > 1:
+        wanted = queries.select(F.col("unit").alias("to"), F.col("block").alias("of")).distinct()
+        held = held.join(wanted, F.col("unit") == F.col("to")).drop("to").withColumnRenamed("of", "block")
+    else:
+        held = held.withColumn("block", F.lit(0))
     hits = held.groupBy("unit", "block").cogroup(queries.groupBy("unit", "block")).applyInArrow(scan, f"qkey long, qid long, id long, score {score_type}")
     order = Window.partitionBy("qkey").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe, dimscan, jaccard, language, mtree, ngrams, packing, queries, quotes, secrets, sharding, tokens, toxicity
+from sluicegate.llm import bpe, dimscan, jaccard, language, mtree, ngrams, packing, queries, quotes, secrets, sharding, tokens, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, size long"
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
@@ -351,6 +351,40 @@ def test_mtree_query_leaves_out_what_is_not_finite(spark, tmp_path):
     assert got[0] == got[1] and len(got[0]) == 5 * 8
 
 
+def test_vector_blocks_send_rows_only_where_queries_go(spark, monkeypatch):
+    v = whole_vectors()
+    whole = [sorted(tuple(r) for r in f(awkward(spark, v), k=5, every=2).collect()) for f in (mtree.top_k, dimscan.nearest)]
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 32)
+    monkeypatch.setattr(vectors, "UNIT_ROWS", 64)
+    cut = [sorted(tuple(r) for r in f(awkward(spark, v), k=5, every=2).collect()) for f in (mtree.top_k, dimscan.nearest)]
+    assert whole == cut and len(whole[0]) == 5 * 200
+    clash = awkward(spark, v).withColumn("id", F.lit(1)).withColumn("v", F.lit("x")).withColumn("list", F.lit(0)).withColumn("unit", F.lit(3))
+    assert sorted(tuple(r) for r in mtree.top_k(clash, every=2).collect()) == whole[0] and sorted(tuple(r) for r in dimscan.nearest(clash, every=2).collect()) == whole[1]
+
+
+def test_lists_share_bins_only_while_they_fit():
+    first, parts = vectors.Lists._dealt(np.array([3, 9, 0, 4, 2]), np.array([0, 3, 1, 2, 4]), 7, True)
+    assert parts.tolist() == [1, 2, 1, 1, 1] and first.tolist() == [0, 1, 3, 0, 3]
+
+
+def test_dimension_scan_query_recall(spark):
+    """The registered query against brute force, over a whole table."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, u = np.array([i for i, _ in rows]), dimscan.unit(np.array([e for _, e in rows], float))
+    got = {}
+    for r in queries.op7_adaptive_scan(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[ids == ids[q]] = -2
+        best = ids[np.lexsort((ids, -s))[:5]].tolist()
+        hit, total = hit + len(set(best) & set(got[ids[q]])), total + 5
+        assert len(got[ids[q]]) == 5 and all(x == pytest.approx(s[ids == i][0], abs=1e-12) for i, x in got[ids[q]].items())
+    assert hit >= 0.9 * total
+
+
 def test_dimension_scan_recall(spark):
     v = whole_vectors()
     rows = dimscan.nearest(awkward(spark, v), k=5, every=10).collect()
