@@ -283,33 +283,32 @@ class Dictionaries:
             return self.p(g, n - 1)
         return (max(counts.get(g, self.d) - self.d, 0) + self.d * kinds[g[:-1]] * self.p(g, n - 1)) / total[g[:-1]]
 
-    def bits(self, word, label):
+    def ratio(self, word):
         out = 0.0
         for k in range(1, len(word.encode()) + 2):
             g = (b" " + word.encode())[:k][-self.order :]
-            counts, total, kinds = self.own[label]
-            c = g[:-1]
-            if c in self.tables[-1][1]:
-                spare = (self.d * kinds.get(c, 0) + self.shared) / (total.get(c, 0) + self.shared)
-                p = max(counts.get(g, 0) - self.d, 0) / (total.get(c, 0) + self.shared) + spare * self.p(g, self.order)
-            else:
-                p = self.p(g, self.order)
-            out -= np.log2(p)
+            if g not in self.tables[-1][0]:
+                continue  # both classes take the shared backoff
+            for label, sign in ((0, -1), (1, 1)):
+                counts, total, kinds = self.own[label]
+                mine = total.get(g[:-1], 0) + self.shared
+                spare = (self.d * kinds.get(g[:-1], 0) + self.shared) / mine
+                out += sign * np.log2(max(counts.get(g, 0) - self.d, 0) / mine + spare * self.p(g, self.order))
         return out
 
 
 def test_kneser_ney_equals_dictionaries(spark):
     rows = [("Good morning to you. Good evening! A löwe sleeps", 0), ("good evening again", 0), ("you zwuck. Good evening! extraordinarily zwuckish", 1), ("You ZWUCK. extraordinary zwucks", 1)]
-    table = toxicity.train_counts(spark.createDataFrame(rows, "text string, label int").repartition(3))
+    ratios = toxicity.train_counts(spark.createDataFrame(rows, "text string, label int").repartition(3))
     brute = Dictionaries(rows)
     for word in ("good", "zwuck", "zwucking", "extraordinarily", "löwe", "qqq", "evenin", "morningstar"):
-        got = next(ngrams.score(table, [b" " + word.encode()], words=True)) / ngrams.UNIT
-        assert got == pytest.approx([brute.bits(word, 0), brute.bits(word, 1)], abs=0.01), word
+        got = next(ngrams.score(ratios, [b" " + word.encode()], words=True))[0] / ngrams.UNIT
+        assert got == pytest.approx(brute.ratio(word), abs=0.01), word
 
 
 def test_highest_counts_are_kept(spark):
     rows = spark.createDataFrame([(8, k, 1 + k // 4) for k in range(40)], "n int, gram long, w long")
-    kept = {r.gram for r in toxicity._highest(rows, "w", 10).collect()}
+    kept = {r.gram for r in toxicity._highest(rows, "w", [10] * 8).collect()}
     assert 4 <= len(kept) <= 10 and min(kept) == 40 - len(kept)
 
 
