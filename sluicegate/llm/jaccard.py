@@ -4,12 +4,13 @@ Sets of word n-grams are 64-bit hashes; equal sets are one node.  Two sets of a
 similarity of at least t share one of the first n - ceil(t n) + 1 members of
 each in any common order; the order puts members first that are not known to be
 frequent, by hash.  These prefixes are the index: lists of (node, size,
-position).  Lists are read so that pairs whose sizes or positions exclude a link
-are skipped.  Answers are derived from those of similar sets twice: a list's
-members are first compared with one leader each, and lists whose members all
-turn out connected need no further pairs; for the rest, distances to the same
-leader and the triangle inequality exclude pairs of members.  No list is ever gathered
-in one task or expanded into all its pairs while its members are connected.
+position), cut into blocks by size and position.  The bounds of blocks are read
+before their entries, and pairs of blocks that cannot hold a link are skipped.
+Answers are derived from those of similar sets twice: a list's members are first
+compared with one leader each, and lists whose members all turn out connected
+need no further pairs; for the rest, distances to the same leader and the
+triangle inequality exclude pairs of members.  No list is ever gathered in one
+task or expanded into all its pairs while its members are connected.
 """
 
 from __future__ import annotations
@@ -363,6 +364,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def block_of(size, position, percent: int):
+    """Block of an entry within its list: by the magnitude of its set's size, then of its position."""
+    by_size = F.floor(F.log(size) / float(np.log(100 / percent))).cast("int")
+    return by_size * 64 + F.floor(F.log2(position + 1)).cast("int")
+
+
+def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """``h``, ``block1``, ``block2``: blocks of a list that can hold a link, ``block1`` with the smaller sets.
+
+    Only the bounds of blocks are read: their sizes, least positions and
+    components.  Entries of other pairs of blocks never meet, so a list is not
+    expanded where sizes or positions rule links out, or where all are connected.
+    """
+    bounds = entries.groupBy("h", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    side = lambda s: bounds.select("h", *(F.col(c).alias(c + s) for c in ("block", "least", "most", "first", "low", "high")))
+    c = F.col
+    return side("1").join(side("2"), "h").where(
+        (c("least1") <= c("most2")) & (percent * c("least2") <= 100 * c("most1"))
+        & (F.least(c("most1") - c("first1"), c("most2") - c("first2")) * (100 + percent) >= percent * (c("least1") + c("least2")))
+        & ((c("low1") != c("high1")) | (c("low2") != c("high2")) | (c("low1") != c("low2")))
+    ).select("h", "block1", "block2")
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` of each row.
 
@@ -456,10 +480,11 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     lead = sides.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("m")).select("node", F.col("m.leader").alias("leader"), F.col("m.far").alias("far"))
     placed = lists.join(comps, "node").join(lead, "node", "left").select("h", "node", "n", "pos", "comp", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    rest = as_table(placed.join(mixed, "h", "left_semi"))
+    rest = as_table(placed.join(mixed, "h", "left_semi").withColumn("block", block_of(F.col("n"), F.col("pos"), percent)))
     drop_tables(spark, lists, comps)
-    side = lambda s: rest.select("h", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "comp", "leader", "far")))
-    cross = side("1").join(side("2"), "h").where(
+    side = lambda s: rest.select("h", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "comp", "leader", "far", "block")))
+    met = side("1").join(block_pairs(rest, percent), ["h", "block1"]).join(side("2"), ["h", "block2"])
+    cross = met.where(
         (F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2"))))
         & (percent * F.col("n2") <= 100 * F.col("n1"))
         # the first entry that a linked pair shares leaves enough of both sets behind it

@@ -433,6 +433,29 @@ def test_jaccard_join(spark, docs):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_blocks_skip_only_what_cannot_link(spark):
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 300, 400)
+    rows = [(int(k % 3), i, int(size), int(rng.integers(0, max(1, size // 4))), i % 90) for i, (k, size) in enumerate(zip(range(400), n, strict=True))]
+    entries = spark.createDataFrame(rows, "h long, node long, n int, pos int, comp long").withColumn("block", jaccard.block_of(F.col("n"), F.col("pos"), 80))
+    pairs = {tuple(r) for r in jaccard.block_pairs(entries, 80).collect()}
+    block = {r.node: r.block for r in entries.collect()}
+    want = set()
+    for h, a, na, pa, ca in rows:
+        for g, b, nb, pb, cb in rows:
+            if h == g and a != b and na <= nb and ca != cb and 80 * nb <= 100 * na and min(na - pa, nb - pb) * 180 >= 80 * (na + nb):
+                want.add((h, block[a], block[b]))
+    assert want <= pairs and len(pairs) < 0.5 * 3 * len(set(block.values())) ** 2
+
+
+def test_ngram_jaccard_query(spark, tmp_path):
+    base = [f"this is text number {k} of some that are {k * 7} words apart from all {k} others in here and there {k * 3}" for k in range(30)]
+    texts = {**dict(enumerate(base)), **{100 + k: t + " end" for k, t in enumerate(base)}, 300: None, 301: "", 302: "One Two", 303: "one  two", 304: base[0].upper(), 305: "x" * 5000}
+    spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_ngram_jaccard(spark, str(tmp_path)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_short_texts_keep_their_set_after_a_long_word(monkeypatch):
     monkeypatch.setattr(jaccard, "_RANDOM", np.random.Generator(np.random.PCG64(1)))
     monkeypatch.setattr(jaccard, "_FACTORS", [jaccard._FACTORS[0][: 1 << 10]])
