@@ -70,5 +70,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op8_quotation_linking, op9_ngram_jaccard, op10_kneser_ney_toxicity)}
 
 
+#: Products in doubles are exact below 2 ** 53.
+_OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _op3_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    rules = secrets.RULES[:3]
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, string_split_regex(t, {quoted(r.pattern)}) AS b, regexp_extract_all(t, {quoted(r.pattern)}) AS w, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g, {r.least} AS least FROM d" for k, r in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{r.kind}" for k, r in enumerate(rules))
+    names = "[" + ", ".join(quoted(r.kind) for r in rules) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}),
+p AS (SELECT doc_id, k, least, unnest([{{'a': coalesce(list_sum([length(x) FOR x IN b[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN w[1:i - 1]]), 0), 'n': length(w[i]), 'c': length(g[i])}} FOR i IN range(1, len(w) + 1)]) AS s FROM m WHERE len(w) > 0),
+f AS (SELECT doc_id, k, CAST(s.a AS BIGINT) AS a, CAST(s.a + s.n AS BIGINT) AS z FROM p WHERE s.c >= least),
+r AS (SELECT doc_id, {counts}, string_agg({names}[k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in rules)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+_OP9_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * k >= 80 * (na + nb - k) UNION ALL SELECT b, a FROM c WHERE 100 * k >= 80 * (na + nb - k)),
+reach(item, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.item, e.b FROM reach JOIN e ON reach.other = e.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM reach WHERE item = doc_id) AS component_id FROM sets
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can express: not the byte models, the tokenizers, hashes of the engine's own, or approximate search."""
+    return {"op2_mtree_top_k": _OP2_SQL, "op3_secret_ledger": _op3_sql(), "op9_ngram_jaccard": _OP9_SQL}

@@ -480,3 +480,11 @@ def test_partial_quotes(spark):
     got = {(r.conv_id, r.turn): (r.reply_to, r.linked_quotes, r.n_quotes) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [got[1, k] for k in range(2, 7)] == [(0, 1, 1), (0, 1, 1), (0, 2, 2), (0, 1, 1), (5, 0, 1)]
     assert got[2, 2001] == (1, 1, 1) and got[2, 2002] == (2000, 1, 1)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import oracle
+
+    sf = "/root/testdata/sf0.001"
+    assert oracle.differences(spark, oracle.connect(sf), queries.queries()[name], queries.oracle_sql()[name], sf) is None
