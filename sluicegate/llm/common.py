@@ -26,6 +26,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 GROUP_BYTES = 16 << 20
 
 
+#: Characters of a plan that the driver keeps as text, for each of its adaptive shapes.
+PLAN_CHARS = 1 << 13
 #: Spark's switch for deleting a query's shuffle files when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -70,6 +72,7 @@ def as_table(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     before = conf.get(SHUFFLE_CLEANUP, None)
     conf.set(SHUFFLE_CLEANUP, "true")
+    conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)  # each new shape of an adaptive plan is kept as text
     try:
         df.write.parquet(path)
     finally:
@@ -94,6 +97,12 @@ def give_back() -> None:
         trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver give back what planning and collecting left behind, its JVM too: a full collection shrinks the heap and unloads spent plans' code."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run):
     """``run``, a function over batches, followed by ``give_back``."""
 

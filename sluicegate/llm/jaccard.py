@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import CHUNK_BYTES, as_table, drop_tables, tidy
+from sluicegate.llm.common import CHUNK_BYTES, as_table, drop_tables, release, tidy
 
 #: One document of so many gives its n-grams to the search for frequent ones.
 FREQUENT_SAMPLE = 32
@@ -443,6 +443,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         lists = lists.join(lists.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
     lists = as_table(lists)
     drop_tables(spark, all_lists)
+    release(spark)
     chosen = as_table(of_node.join(lists.select("node").distinct(), "node", "left_semi"))
     texts = _wanted_texts(docs, chosen, n)
     drop_tables(spark, chosen)
@@ -456,6 +457,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     told = spark.createDataFrame([], "a long, b long, both int, either int")
     comps = as_table(lists.select("node", F.col("node").alias("comp")).distinct())
     for k in range(ROUNDS):
+        release(spark)
         placed = lists.join(comps, "node")
         place = F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k)).cast("double")
         lead = placed.groupBy("h").agg(F.max(F.struct(place.alias("place"), "node", "n", "comp")).alias("lead"))
@@ -475,6 +477,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         if hits < 0.1 * count:
             break
 
+    release(spark)
     # lists that join different components: what sizes, positions, shared entries and leaders do not exclude
     sides = told.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("either")).alias("far"))
     lead = sides.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("m")).select("node", F.col("m.leader").alias("leader"), F.col("m.far").alias("far"))
@@ -500,6 +503,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     comps = components(told.where(linked).select("a", "b").union(more.where(linked).select("a", "b")))
     drop_tables(spark, told, more)
 
+    release(spark)
     # members of a large component take its name from copies of it, so that no task gets them all
     members = comps.join(of_node, "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int"))
     least = members.groupBy("comp").agg(F.min("id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.llm import ngrams
-from sluicegate.llm.common import give_back, map_texts
+from sluicegate.llm.common import map_texts, release
 from sluicegate.llm.sample import bounded_sample
 
 #: Bytes of the longest gram: a context of one less.
@@ -102,5 +102,5 @@ def fit(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "te
     """A model from a bounded sample of the rows for which ``train_rows`` (a column) holds."""
     labelled = docs.where(train_rows & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     model = train(bounded_sample(labelled, rows, MAX_ROW_BYTES))
-    give_back()
+    release(docs.sparkSession)
     return model
