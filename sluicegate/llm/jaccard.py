@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.llm import bloom
 from sluicegate.llm.common import CHUNK_BYTES, as_table, drop_tables, release, tidy
 
 #: One document of so many gives its n-grams to the search for frequent ones.
@@ -32,8 +33,6 @@ FREQUENT_MOST = 1 << 18
 SPARE = 20
 #: Rounds of comparing components with leaders before the rest is compared pair by pair.
 ROUNDS = 4
-#: Bits of the filter of wanted ids, as a power of two.
-BLOOM_BITS = 24
 #: Shares that the members of a component are dealt to where they take its name.
 SALTS = 16
 #: Index entries that a bucket holds, about; and those that a task holds before it hands them on.
@@ -282,31 +281,14 @@ def _wanted_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     A Bloom filter of ids, of fixed size, keeps most other texts from being
     exchanged; what it lets through wrongly is dropped by the join.
     """
-    bits = 1 << BLOOM_BITS
-
-    @tidy
-    def marks(batches):
-        own = np.zeros(bits, bool)
-        for b in batches:
-            for k in _places(b.column(0).to_numpy(), bits):
-                own[k] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()])], ["bits"])
-
-    spread = F.xxhash64("id", F.lit(7))
-    parts = chosen.select(spread.alias("x")).repartition(8).mapInArrow(marks, "bits binary").collect()
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        whole |= np.frombuffer(r["bits"], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(whole)
+    spread = bloom.hashed("id")
+    held = docs.sparkSession.sparkContext.broadcast(bloom.of(chosen.select(spread.alias("x"))))
 
     @tidy
     def keyed(batches):
         whole = held.value
         for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            for k in _places(b.column(0).to_numpy(), bits):
-                ok &= (whole[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
-            text = b.column(1).filter(pa.array(ok))
+            text = b.column(1).filter(pa.array(bloom.may_hold(whole, b.column(0).to_numpy())))
             nodes = [node_of(s) if len(s) else None for s in ngram_sets(_texts(text), n)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), text], ["node", "text"])
 
@@ -314,12 +296,6 @@ def _wanted_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     return as_table(found.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _places(x: np.ndarray, bits: int):
-    x = x.view(np.uint64)
-    for shift in (1, 33):
-        yield ((x >> np.uint64(shift)) % np.uint64(bits)).astype(np.int64)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """pairs (a, b) with ``both`` and ``either``, the sizes of intersection and union."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
