@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from sluicegate.llm import jaccard, language, packing, secrets, toxicity
 from sluicegate.llm.common import as_table, fold, read
 
-#: A document whose best language has less than this share of certainty is rejected.
+#: A document whose best language has less than this share of certainty, against other languages and plain bytes, is rejected.
 LEAST_CERTAINTY = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.5 stay, null and empty texts too; repeated rows fare alike; an empty table stays empty."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train_rows=fold("doc_id", 5) != 0)
     kept = docs.columns
     return toxicity.score(docs, model, keep=kept).where("score < 0.5").select(kept)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain stay; null texts, texts without a letter and texts that plain bytes explain better go; repeated rows fare alike."""
     model = language.fit(docs, train_rows=fold("doc_id", 4) != 2)
     kept = docs.columns
     return language.identify(docs, model, keep=kept).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)).select(kept)
@@ -36,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, with its secrets masked and ``n_chars`` renewed where something was; null texts stay null; rows of one id are told apart by their texts."""
     versions, ledger = secrets.scan(docs)
     found = secrets.by_path(versions, ledger).where(F.size("spans") > 0).dropDuplicates(["id", "blob_id"])
     rows = docs.withColumn("_blob", secrets.blob_id(F.col("text")))
@@ -48,6 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every row, repeated rows and null texts (the end id alone) included; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
@@ -64,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again as the input of the next; the last one returns where every piece is packed."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
