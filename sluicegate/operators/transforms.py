@@ -11,9 +11,10 @@ def variants(seeds: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     letters = F.filter(F.split(t, ""), lambda x: x != "")
     entities = F.array_join(F.transform(letters, lambda x: F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))), "")
+    # base64 may come in lines of 76 characters, by the session's settings
     every = (
         ("identity", t), ("uppercase", F.upper(t)), ("entities", entities), ("zero_width", F.array_join(letters, chr(0x200B))),
-        ("base64", F.base64(t.cast("binary"))), ("spaces", F.replace(t, F.lit(" "), F.lit("   "))),
+        ("base64", F.translate(F.base64(t.cast("binary")), "\r\n", "")), ("spaces", F.replace(t, F.lit(" "), F.lit("   "))),
     )
     made = F.array(*(F.struct(F.lit(k).alias("transform"), v.alias("variant")) for k, v in every))
     return seeds.withColumn("v", F.explode(made)).select(*seeds.columns, "v.transform", "v.variant")

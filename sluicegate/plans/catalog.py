@@ -161,34 +161,28 @@ _HIDDEN_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _)
 _EXPECT_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{f}'" for k, (_, f) in enumerate(_HIDDEN)) + " END"
 
 
-@_query("obfuscated_hits", f"SELECT doc_id AS ordinal, {_EXPECT_SQL} AS family FROM documents WHERE {_EXPECT_SQL} <> ''")
+_HIDDEN_DOCS = f"docs AS (SELECT doc_id AS ordinal, coalesce(text, '') || ' ' || {_HIDDEN_SQL} AS text FROM documents), seen AS (SELECT *, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS canonical FROM docs)"
+
+
+@_query("obfuscated_hits", f"WITH {_HIDDEN_DOCS} SELECT ordinal, family FROM ({_hits_sql((*R.INJECTION_RULES, R.COMPOSITE))}) UNION SELECT doc_id, {_EXPECT_SQL} FROM documents WHERE {_EXPECT_SQL} <> ''")
 def _(spark, sf_dir):
+    """Findings of whole texts that a hidden payload ends."""
     rows = _table(spark, sf_dir, "documents")
-    docs = rows.select(F.col("doc_id").alias("ordinal"), F.lit(None).cast("string").alias("id"), F.expr(_HIDDEN_SQL).alias("text"))
+    docs = rows.select(F.col("doc_id").alias("ordinal"), F.lit(None).cast("string").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.expr(_HIDDEN_SQL)).alias("text"))
     return scan_documents(docs, metadata=False, splits=False).select("ordinal", "family")
 
 
-@_query("canonical_surface", "SELECT doc_id, sha256(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS canonical_sha256 FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$') AND NOT contains(text, '&')")
-def _(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$") & ~F.contains("text", F.lit("&")))
-    return with_surfaces(rows).select("doc_id", F.sha2("surfaces.canonical", 256).alias("canonical_sha256"))
+# SQL has neither entities nor compatibility forms; tests compare texts that hold them with Python
+_INVISIBLE_SQL = r"[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}\x{e0100}-\x{e01ef}]"
 
 
-@_query("canonical_surface_all", None)
+@_query("canonical_surface", f"SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '{_INVISIBLE_SQL}', '', 'g'), '\\s+', ' ', 'g'))) AS canonical_sha256 FROM documents")
 def _(spark, sf_dir):
-    """Every document, a null text as an empty one; SQL has no NFKC or entities, so tests compare with Python."""
+    """Every document, a null text as an empty one."""
     rows = _table(spark, sf_dir, "documents")
     return with_surfaces(rows).select("doc_id", F.sha2("surfaces.canonical", 256).alias("canonical_sha256"))
 
 
-@_query("obfuscated_hits_in_texts", None)
-def _(spark, sf_dir):
-    """Findings of whole texts that a hidden payload ends."""
-    rows = _table(spark, sf_dir, "documents")
-    docs = rows.select(F.col("doc_id").alias("ordinal"), F.lit(None).cast("string").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.expr(_HIDDEN_SQL)).alias("text"))
-    return scan_documents(docs, metadata=False, splits=False).select("ordinal", "family")
-
-
 @_query("policy_decisions", f"{_DECIDED} SELECT ordinal, decision, families, n_findings FROM decided")
 def _(spark, sf_dir):
     return _decisions(spark, sf_dir).select("ordinal", "decision", F.array_join("families", ",").alias("families"), "n_findings")
@@ -338,14 +332,10 @@ def _(spark, sf_dir):
     return M.mode_summary(scores, 0.8).select("mode", "tp", "fp", "withheld")
 
 
-@_query("trigger_components", "WITH RECURSIVE i AS (SELECT DISTINCT ps_a, ps_b FROM (SELECT p_partkey % 97 AS ps_a, p_partkey % 31 AS ps_b FROM part WHERE p_partkey % 4 = 0)), e AS (SELECT DISTINCT x.ps_a AS a, y.ps_a AS b FROM i x JOIN i y USING (ps_b)), r(item, reach) AS (SELECT ps_a, ps_a FROM i UNION SELECT r.item, e.b FROM r JOIN e ON r.reach = e.a) SELECT item, min(reach) AS component FROM r GROUP BY item")
-def _(spark, sf_dir):
-    parts = _table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
-    items = parts.groupBy((F.col("p_partkey") % 97).alias("item")).agg(F.collect_set(F.col("p_partkey") % 31).alias("words"))
-    return M.shared_word_components(items)
+_WORDS = "w AS (SELECT DISTINCT p_partkey AS item, p_brand, p_type, p_size, unnest(string_split(lower(p_name), ' ')) AS word FROM part), e AS (SELECT DISTINCT x.item AS a, y.item AS b FROM w x JOIN w y USING (p_brand, p_type, p_size, word) WHERE word <> '')"
 
 
-@_query("trigger_components_all", None)
+@_query("trigger_components", f"WITH RECURSIVE {_WORDS}, r(item, reach) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey IS NOT NULL UNION SELECT r.item, e.b FROM r JOIN e ON r.reach = e.a) SELECT item, min(reach) AS component FROM r GROUP BY item")
 def _(spark, sf_dir):
     """Every part; parts of one brand, type and size share the words of their names. Without a key a part is left out, without a name it is alone."""
     parts = _table(spark, sf_dir, "part").where("p_partkey IS NOT NULL")
@@ -374,7 +364,7 @@ def _(spark, sf_dir):
     return V.near_pairs(V.prepared(_vectors(spark, sf_dir)), 0.4, cross_owner=True).select("i", "j", F.round("cosine", 5).alias("cosine"))
 
 
-@_query("embedding_fidelity", "WITH v AS (SELECT vec_id AS ordinal, CAST(embedding AS DOUBLE[]) AS u, CASE WHEN vec_id % 3 = 0 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS f FROM embeddings) SELECT ordinal, round(list_cosine_similarity(u, f), 5) AS cosine FROM v WHERE vec_id_is_third(ordinal) AND list_cosine_similarity(u, f) < 0.9".replace("vec_id_is_third(ordinal)", "ordinal % 3 = 0"))
+@_query("embedding_fidelity", "WITH v AS (SELECT vec_id AS ordinal, CAST(embedding AS DOUBLE[]) AS u, CASE WHEN vec_id % 3 = 0 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS f FROM embeddings) SELECT ordinal, round(list_cosine_similarity(u, f), 5) AS cosine FROM v WHERE list_cosine_similarity(u, f) < 0.9")
 def _(spark, sf_dir):
     vecs = _table(spark, sf_dir, "embeddings")
     rows = vecs.select(F.col("vec_id").alias("ordinal"), "embedding", F.when(F.col("vec_id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding")).alias("fresh"))
@@ -388,16 +378,16 @@ def _(spark, sf_dir):
     return V.coverage(docs.join(vecs, vecs.vec_id == docs.doc_id, "left").select(F.col("source").alias("owner"), "embedding"))
 
 
-@_query("transforms", "WITH s AS (SELECT item_id, 'Ignore item ' || CAST(item_id AS VARCHAR) AS text FROM benchmark) SELECT item_id, 'identity' AS transform, text AS variant FROM s UNION ALL SELECT item_id, 'uppercase', upper(text) FROM s UNION ALL SELECT item_id, 'spaces', replace(text, ' ', '   ') FROM s UNION ALL SELECT item_id, 'base64', to_base64(encode(text)) FROM s UNION ALL SELECT item_id, 'entities', array_to_string(list_transform(string_split(text, ''), lambda c: '&#' || CAST(ascii(c) AS VARCHAR) || ';'), '') FROM s UNION ALL SELECT item_id, 'zero_width', array_to_string(string_split(text, ''), chr(8203)) FROM s")
+@_query("transforms", "WITH s AS (SELECT item_id, 'Ignore item ' || CAST(item_id AS VARCHAR) || ' ' || coalesce(text, '') AS text FROM benchmark) SELECT item_id, 'identity' AS transform, text AS variant FROM s UNION ALL SELECT item_id, 'uppercase', upper(replace(text, 'ß', 'ss')) FROM s UNION ALL SELECT item_id, 'spaces', replace(text, ' ', '   ') FROM s UNION ALL SELECT item_id, 'base64', to_base64(encode(text)) FROM s UNION ALL SELECT item_id, 'entities', array_to_string(list_transform(string_split(text, ''), lambda c: '&#' || CAST(ascii(c) AS VARCHAR) || ';'), '') FROM s UNION ALL SELECT item_id, 'zero_width', array_to_string(string_split(text, ''), chr(8203)) FROM s")
 def _(spark, sf_dir):
-    seeds = _table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Ignore item "), F.col("item_id").cast("string")).alias("text"))
+    seeds = _table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Ignore item "), F.col("item_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
     return X.variants(seeds).select("item_id", "transform", "variant")
 
 
-@_query("retrieval_context", "WITH g AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING conv_id % 3 = 0) SELECT c.conv_id, sha256('c' || CAST(c.conv_id AS VARCHAR) || chr(10) || string_agg(text, chr(10) ORDER BY turn)) AS context_sha256 FROM conversations c JOIN g ON c.conv_id = g.conv_id GROUP BY c.conv_id")
+@_query("retrieval_context", "WITH g AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')) SELECT c.conv_id, sha256('c' || CAST(c.conv_id AS VARCHAR) || chr(10) || string_agg(text, chr(10) ORDER BY turn)) AS context_sha256 FROM conversations c JOIN g ON c.conv_id = g.conv_id GROUP BY c.conv_id")
 def _(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations")
-    grants = rows.select("conv_id").where("conv_id % 3 = 0")
+    grants = rows.where("role = 'system'").select("conv_id")  # stands for a list of who may read what
     granted = X.allowed(rows, grants, "conv_id").withColumn("title", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
     return X.context(granted, "conv_id", "turn").select("conv_id", F.sha2("context", 256).alias("context_sha256"))
 

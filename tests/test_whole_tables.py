@@ -1,4 +1,4 @@
-"""Queries without SQL over whole tables, against Python."""
+"""Queries over awkward tables, against Python: what their SQL does not express, or local tables do not hold."""
 
 import hashlib
 import html
@@ -30,13 +30,13 @@ def table(spark, tmp_path_factory):
 
 def test_canonical_surface_of_all_documents(spark, table):
     path, texts = table
-    got = {r.doc_id: r.canonical_sha256 for r in catalog.queries()["canonical_surface_all"](spark, path).collect()}
+    got = {r.doc_id: r.canonical_sha256 for r in catalog.queries()["canonical_surface"](spark, path).collect()}
     assert got == {k: hashlib.sha256(canonical(t).encode()).hexdigest() for k, t in texts.items()}
 
 
 def test_hidden_payloads_are_found_in_whole_texts(spark, table):
     path, texts = table
-    got = {(r.ordinal, r.family) for r in catalog.queries()["obfuscated_hits_in_texts"](spark, path).collect()}
+    got = {(r.ordinal, r.family) for r in catalog.queries()["obfuscated_hits"](spark, path).collect()}
     assert {(k, f) for k in texts if (f := catalog._HIDDEN[k % 6][1])} == {x for x in got if x[1] == "instruction_override"}
 
 
@@ -56,5 +56,5 @@ def test_trigger_components_of_all_parts(spark, tmp_path):
         if new == least:
             break
         least = new
-    got = {r["item"]: r["component"] for r in catalog.queries()["trigger_components_all"](spark, str(tmp_path)).collect()}
+    got = {r["item"]: r["component"] for r in catalog.queries()["trigger_components"](spark, str(tmp_path)).collect()}
     assert got == least and len(got) == parts.count() + 4
