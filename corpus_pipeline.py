@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5 stay, null and empty texts too; repeated rows fare alike; an empty table stays empty."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train_rows=fold("doc_id", 5) != 0)
     kept = docs.columns
-    return toxicity.score(docs, model, keep=kept).where("score < 0.5").select(kept)
+    return toxicity.score(docs, model, keep=kept, with_ratio=False).where("score < 0.5").select(kept)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

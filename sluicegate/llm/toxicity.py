@@ -7,9 +7,11 @@ Kneser-Ney backoff, whose lower orders count distinct continuations in both
 classes together; a gram that neither class has takes that backoff in both, so
 it tells nothing.  Grams are counted in the cluster, over every training row:
 sentences count once for each class, so that copies don't weigh, then words,
-then grams of words.  The lower orders are the same for both classes, so tasks
-get only what the classes differ in: a log-likelihood ratio for each of the
-longest grams, of the highest counts up to a bound.
+then grams of words.  The lower orders are the same for both classes, so scores
+need only what the classes differ in: a log-likelihood ratio for each of the
+longest grams, made in the cluster from all grams of all orders.  Tasks hold the
+largest ratios, up to a bound; all others stay in a table, which is joined for
+the words that they may decide.
 
 A text is compared by the length-normalised log-likelihoods of its distinct
 words, word by word: differences of up to ``STRONG`` bits are what layouts and
@@ -20,6 +22,7 @@ sample of labelled texts that the counts have not seen.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -41,8 +44,12 @@ DISCOUNT = 0.75
 SHARED = 2.0
 #: Bits of a word's difference that don't count, and that count at most.
 STRONG, CLIP = 4, 20
-#: Most of the longest grams that a model holds, and most grams and contexts of each order below while it is made.
-MAX_GRAMS, MAX_LOWER = 1 << 19, 1 << 17
+#: Most of the longest grams that tasks hold; the others wait in a table.
+MAX_GRAMS = 1 << 19
+#: Bits of a slot's number, where tasks hold limits of the others.
+SLOT_BITS = 22
+#: Groups in which ratios are made, at least, and grams of a group from which there are more.
+GROUPS, GROUP_GRAMS = 128, 1 << 16
 #: Bound of the sample that fits the logistic: rows of each class, and bytes of a row.
 ROWS_PER_CLASS, MAX_ROW_BYTES = 1200, 1 << 14
 #: One labelled row of so many may fit the logistic; the others are counted.
@@ -100,11 +107,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def count_grams(words: DataFrame) -> DataFrame:
-    """``n``, ``gram``, ``w``, ``n0``, ``n1``: counts of the longest grams, and continuation counts of the shorter ones.
-
-    A shorter gram's weight is the number of distinct grams of one more byte
-    that end in it; grams that begin a word keep their counts.
-    """
+    """``gram``, ``n0``, ``n1``: counts of the longest grams by class."""
 
     @tidy
     def grams(batches):
@@ -120,14 +123,93 @@ def count_grams(words: DataFrame) -> DataFrame:
             keys, weights = ngrams.grouped(keys, weights)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(weights[:, 0]), pa.array(weights[:, 1])], ["gram", "n0", "n1"])
 
-    top = as_table(words.mapInArrow(grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    low = lambda n: F.element_at(F.lit([int(ngrams.mask(k).view(np.int64)) for k in range(1, ORDER + 1)]), n)
-    longer = top.select(F.explode(F.sequence(F.lit(1), F.lit(ORDER - 1))).alias("n"), "gram", (F.col("n0") + F.col("n1")).alias("w"))
-    longer = longer.groupBy("n", F.col("gram").bitwiseAND(low(F.col("n") + 1)).alias("longer")).agg(F.max("w").alias("w"))
-    gram = F.col("longer").bitwiseAND(low(F.col("n")))
-    lower = longer.groupBy("n", gram.alias("gram")).agg(F.sum(F.when(F.col("longer") == gram, F.col("w")).otherwise(1)).alias("w"))
-    none = F.lit(0).cast("long")
-    return top.select(F.lit(ORDER).alias("n"), "gram", (F.col("n0") + F.col("n1")).alias("w"), "n0", "n1").union(lower.select("n", "gram", "w", none, none))
+    return words.mapInArrow(grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _shorter(grams: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of ``n`` bytes, ascending, and their continuation counts, from all grams of one byte more.
+
+    A shorter gram's weight is the number of distinct grams of one more byte
+    that end in it; grams that begin a word keep their counts.
+    """
+    low = grams & ngrams.mask(n)
+    return ngrams.grouped(low, np.where(low == grams, weights, 1))
+
+
+def _runs(context: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each row of ascending contexts, the sums of its context's rows."""
+    first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    size = np.diff(np.append(first, len(context)))
+    return tuple(np.repeat(np.add.reduceat(w, first), size) for w in weights)
+
+
+def _interpolated(grams: np.ndarray, weights: np.ndarray, under, discount: float) -> np.ndarray:
+    """Probabilities of one order's ascending grams, all of their contexts' grams there; under: those of their endings."""
+    total, kinds = _runs(grams >> np.uint64(8), weights, np.ones(len(grams), np.int64))
+    return (np.maximum(weights - discount, 0) + discount * kinds * under) / total
+
+
+def _held(p: np.ndarray) -> np.ndarray:
+    """Probabilities as whole costs tell them."""
+    return np.exp2(-ngrams.units(p) / ngrams.UNIT)
+
+
+def pairs_of_bytes(top: DataFrame, discount: float = DISCOUNT) -> np.ndarray:
+    """The shared backoff of every gram of two bytes, by its number: at most 65,536 rows come from the cluster."""
+    low = lambda c, n: F.col(c).bitwiseAND(F.lit(int(ngrams.mask(n))))
+    three = top.groupBy(low("gram", 3).alias("longer")).agg(F.max(F.col("n0") + F.col("n1")).alias("w"))
+    two = three.groupBy(low("longer", 2).alias("gram")).agg(F.sum(F.when(low("longer", 2) == F.col("longer"), F.col("w")).otherwise(1)).alias("w")).toArrow()
+    out = np.zeros(1 << 16)
+    if two.num_rows:
+        grams, weights = ngrams.grouped(two.column(0).to_numpy().view(np.uint64), two.column(1).to_numpy())
+        single, counts = _shorter(grams, weights, 1)
+        under = _held(_interpolated(single, counts, 1 / 256, discount))
+        out[grams] = _held(_interpolated(grams, weights, under[np.searchsorted(single, grams & ngrams.mask(1))], discount))
+    return out
+
+
+def build(grams: np.ndarray, n0: np.ndarray, n1: np.ndarray, pairs: np.ndarray, discount: float = DISCOUNT, shared: float = SHARED) -> np.ndarray:
+    """Log-likelihood ratios, toxic to ordinary, of ascending longest grams: all that have the same two bytes before the last.
+
+    Grams of three bytes and more that end alike, and those of one context,
+    have these two bytes in common, so no other gram is needed.
+    """
+    levels = [(grams, n0 + n1)]
+    for n in range(ORDER - 1, 2, -1):
+        levels.append(_shorter(*levels[-1], n))
+    under = pairs[levels[-1][0] & ngrams.mask(2)]
+    for n in range(3, ORDER):
+        own = levels[ORDER - n][0]
+        p = _held(_interpolated(*levels[ORDER - n], under, discount))
+        under = p[np.searchsorted(own, levels[ORDER - n - 1][0] & ngrams.mask(n))]
+    p = _interpolated(*levels[0], under, discount)
+    bits = []
+    for own in (n0, n1):
+        mine, kinds = _runs(grams >> np.uint64(8), own, (own > 0).astype(np.int64))
+        spare = (discount * kinds + shared) / (mine + shared)
+        bits.append(ngrams.units(np.maximum(own - discount, 0) / (mine + shared) + spare * p))
+    return bits[0] - bits[1]
+
+
+def all_ratios(words: DataFrame) -> DataFrame:
+    """``gram``, ``ratio``: of every longest gram of which the classes differ; made in the cluster, in groups that grow in number with the grams."""
+    spark = words.sparkSession
+    top = as_table(count_grams(words))
+    pairs = spark.sparkContext.broadcast(pairs_of_bytes(top))
+    groups = max(GROUPS, top.count() // GROUP_GRAMS)
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n0, n1 = (table.column(k).to_numpy() for k in range(3))
+        gram = gram.view(np.uint64)
+        at = np.argsort(gram)
+        gram = gram[at]
+        ratio = build(gram, n0[at], n1[at], pairs.value)
+        return pa.table({"gram": gram.view(np.int64), "ratio": ratio}).filter(pa.array(ratio != 0))
+
+    before = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    out = as_table(top.groupBy(F.pmod(F.xxhash64(before), F.lit(groups))).applyInArrow(lambda t: run(t.select(["gram", "n0", "n1"])), "gram long, ratio int"))
+    drop_tables(spark, top)
+    return out
 
 
 def _highest(rows: DataFrame, weight: str, most: list[int]) -> DataFrame:
@@ -148,77 +230,109 @@ def _highest(rows: DataFrame, weight: str, most: list[int]) -> DataFrame:
 
 
 class Ratios:
-    """Log-likelihood ratios of the longest grams, toxic to ordinary; ``costs`` as ``ngrams.score`` reads them."""
+    """Log-likelihood ratios of the longest grams, toxic to ordinary; ``costs`` as ``ngrams.score`` reads them.
+
+    Tasks hold the largest ones.  ``rest`` is the table of all others; of each,
+    ``limits`` tells by its slot how much it adds at most, and takes away at
+    most, in steps of ``step``.  These are the second and third column of
+    ``costs``: 0 in both where the table cannot have the gram.
+    """
 
-    def __init__(self, grams: np.ndarray, ratio: np.ndarray):
-        self.levels, self.floor = [None] * ORDER, np.zeros(1, np.int32)
+    def __init__(self, grams: np.ndarray, ratio: np.ndarray, rest: DataFrame | None = None, limits: np.ndarray | None = None, step: int = 1):
+        self.levels, self.floor = [None] * ORDER, np.zeros(3, np.int32)
         self.at = U64Map(max(len(grams), 1))
         self.at.put(grams + np.uint64(1), np.arange(len(grams)))
-        self.ratio = np.append(ratio, np.int32(0))  # absent: the last
+        self.grams, self.ratio = grams, np.append(ratio, np.int32(0))  # absent: the last
+        self.rest, self.limits, self.step = rest, limits, step
+
+    def __getstate__(self):
+        return self.__dict__ | {"rest": None, "grams": None}
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
-        return self.ratio[self.at.get(keys + np.uint64(1))][:, None]
+        found = self.at.get(keys + np.uint64(1))
+        out = np.zeros((len(keys), 3), np.int32)
+        out[:, 0] = self.ratio[found]
+        if self.limits is not None:
+            absent = np.flatnonzero(found < 0)
+            out[absent, 1:] = self.limits[_slot(keys[absent])].astype(np.int32) * self.step
+        return out
 
+    def whole_for(self, texts: Iterable[bytes]) -> Ratios:
+        """With what the table holds of the grams of some texts, for use on the driver."""
+        if self.rest is None:
+            return self
+        wanted = [np.zeros(0, np.uint64), *(np.unique(keys[costs[:, 1:].any(1)]) for keys, costs in (_looked_up(self, t) for t in texts))]
+        wanted = self.rest.sparkSession.createDataFrame(pa.table({"gram": np.unique(np.concatenate(wanted)).view(np.int64)}))
+        more = self.rest.join(wanted, "gram").select("gram", "ratio").toArrow()
+        return Ratios(np.append(self.grams, more.column(0).to_numpy().view(np.uint64)), np.append(self.ratio[:-1], more.column(1).to_numpy()))
 
-def build(levels: Iterable[tuple[list[np.ndarray], list[np.ndarray]]], discount: float = DISCOUNT, shared: float = SHARED) -> Ratios:
-    """The frozen ratios, from the levels of orders 1 to ``ORDER``, which may come one by one.
 
-    A level: its grams, ascending, their weights, and their counts by class; its
-    contexts, ascending, and the sums of the weights and the number of their
-    grams, of all and of each class.  Empty levels: no ratios.
-    """
-    table = ngrams.Table(np.full(1, 8 * ngrams.UNIT, np.int32))
-    for n, ((gram, weight, *own), (context, total, distinct, *by_class)) in enumerate(levels, 1):
-        if not len(gram):
-            break
-        at = np.minimum(np.searchsorted(context, gram >> np.uint64(8)), len(context) - 1)
-        known = context[at] == gram >> np.uint64(8)  # a gram whose context is not held takes the backoff
-        gram, weight, own, at = gram[known], weight[known], [x[known] for x in own], at[known]
-        under = 1 / 256 if n == 1 else np.exp2(-table.costs(gram & ngrams.mask(n - 1))[:, 0] / ngrams.UNIT)
-        p = (np.maximum(weight - discount, 0) + discount * distinct[at] * under) / total[at]
-        if n < ORDER:
-            table.add(gram, ngrams.units(p)[:, None], context, ngrams.units(discount * distinct / total)[:, None])
-            continue
-        bits = []
-        for c in (0, 1):
-            mine, kinds = (x[at] for x in by_class[2 * c : 2 * c + 2])
-            spare = (discount * kinds + shared) / (mine + shared)
-            bits.append(ngrams.units(np.maximum(own[c] - discount, 0) / (mine + shared) + spare * p))
-        return Ratios(gram, bits[0] - bits[1])
-    return Ratios(np.zeros(0, np.uint64), np.zeros(0, np.int32))
-
-
-def _level(rows: DataFrame, n: int, key: str, columns: list[str]) -> list[np.ndarray]:
-    """Keys of one order, ascending, and their columns."""
-    got = rows.where(F.col("n") == n).select(key, *columns).toArrow()
-    keys = got.column(0).to_numpy().view(np.uint64)
-    at = np.argsort(keys)
-    return [keys[at], *(got.column(k).to_numpy()[at].astype(float) for k in range(1, 1 + len(columns)))]
-
-
-def train_counts(rows: DataFrame, most: int = MAX_GRAMS, most_lower: int = MAX_LOWER) -> Ratios:
-    """Ratios from all rows of ``text``, ``label`` (0 ordinary, 1 toxic)."""
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _limits(rest: DataFrame, step: int) -> np.ndarray:
+    """Of each slot's grams, the largest ratio above 0 and the largest below it, in steps, rounded up."""
+
+    @tidy
+    def slots(batches):
+        for b in batches:
+            ratio = b.column(1).to_numpy()
+            more, less = (-(-np.maximum(x, 0) // step) for x in (ratio, -ratio))
+            yield pa.RecordBatch.from_arrays([pa.array(_slot(b.column(0).to_numpy().view(np.uint64)).astype(np.int32)), pa.array(more), pa.array(less)], ["slot", "more", "less"])
+
+    got = rest.select("gram", "ratio").mapInArrow(slots, "slot int, more int, less int").groupBy("slot").agg(*(F.max(c).cast("short").alias(c) for c in ("more", "less"))).toArrow()
+    out = np.zeros((1 << SLOT_BITS, 2), np.uint8)
+    for k in (0, 1):
+        out[got.column(0).to_numpy(), k] = got.column(1 + k).to_numpy()
+    return out
+
+
+def _looked_up(ratios: Ratios, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of one text's words, and their costs."""
+    data, _ = ngrams.lay_out([text], ORDER)
+    keys = ngrams.within_words(data, ngrams.gram_keys(data, ORDER))[ORDER - 1 :]
+    return keys, ratios.costs(keys)
+
+
+def train_counts(rows: DataFrame, most: int = MAX_GRAMS) -> Ratios:
+    """Ratios from all rows of ``text``, ``label`` (0 ordinary, 1 toxic); beyond ``most`` of them, the smallest stay in a table."""
     words = as_table(count_words(rows))
-    grams = as_table(count_grams(words))
-    contexts = as_table(grams.groupBy("n", F.shiftrightunsigned("gram", 8).alias("context")).agg(
-        F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), F.sum("n0").alias("w0"), F.count_if(F.col("n0") > 0).alias("k0"), F.sum("n1").alias("w1"), F.count_if(F.col("n1") > 0).alias("k1"),
-    ))
-    bounds = [most_lower] * (ORDER - 1) + [most]
-    high, high_contexts = _highest(grams, "w", bounds), _highest(contexts, "w", bounds)
-    own = lambda n, columns: columns if n == ORDER else []
-    levels = ((_level(high, n, "gram", ["w", *own(n, ["n0", "n1"])]), _level(high_contexts, n, "context", ["w", "k", *own(n, ["w0", "k0", "w1", "k1"])])) for n in range(1, ORDER + 1))
-    ratios = build(levels)
-    drop_tables(rows.sparkSession, words, grams, contexts)
-    return ratios
+    every = all_ratios(words)
+    sized = every.select(F.lit(ORDER).alias("n"), "gram", "ratio", F.abs("ratio").alias("size"))
+    high = _highest(sized, "size", [most] * ORDER).select("gram", "ratio").toArrow()
+    grams, ratio = high.column(0).to_numpy().view(np.uint64), high.column(1).to_numpy()
+    drop_tables(rows.sparkSession, words)
+    held = np.abs(ratio).min(initial=np.iinfo(np.int32).max)
+    rest = every.where(F.abs("ratio") < int(held))
+    largest = rest.agg(F.max(F.abs("ratio"))).first()[0]
+    if largest is None:
+        drop_tables(rows.sparkSession, every)
+        return Ratios(grams, ratio)
+    step = largest // 255 + 1
+    return Ratios(grams, ratio, rest, _limits(rest, step), step)
 
 
-def _per_word(rows: np.ndarray) -> np.ndarray:
-    return np.stack([np.clip(rows[:, 0] - STRONG * ngrams.UNIT, 0, CLIP * ngrams.UNIT), np.ones(len(rows), np.int64)], 1)
+def _counted(total):
+    """What a word's summed ratio counts."""
+    return np.clip(total - STRONG * ngrams.UNIT, 0, CLIP * ngrams.UNIT)
+
+
+def _open(rows: np.ndarray, exact: bool) -> np.ndarray:
+    """Which words, of their summed costs, wait for the table of the rest: all that it may change, or those of which it may change what counts."""
+    if exact:
+        return rows[:, 1:].any(1)
+    return _counted(rows[:, 0] - rows[:, 2]) != _counted(rows[:, 0] + rows[:, 1])
+
+
+def _per_word(exact: bool):
+    """Sums of a text: what its words count, its words, and the words of which that is not known yet."""
+    return lambda rows: np.stack([_counted(rows[:, 0]), np.ones(len(rows), np.int64), _open(rows, exact)], 1)
 
 
 def _evidence(row: np.ndarray) -> float:
     """Root of the mean of what counts, in bits a word."""
-    return float(np.sqrt(row[1] / max(int(row[2]), 1) / ngrams.UNIT))
+    return float(np.sqrt(row[3] / max(int(row[4]), 1) / ngrams.UNIT))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -243,24 +357,30 @@ def calibrate(ratios: Ratios, ordinary: list[str], toxic: list[str]) -> tuple[fl
     """Slope and intercept of the score from labelled texts; one class at most: no evidence, and its name."""
     if not (ordinary and toxic):
         return 0.0, 1.0 if toxic else -1.0
-    texts = [*ordinary, *toxic]
-    x = [_evidence(row) for row in ngrams.score(ratios, map(distinct_words, texts), words=True, per_word=_per_word)]
+    texts = [distinct_words(t) for t in (*ordinary, *toxic)]
+    x = [_evidence(row) for row in ngrams.score(ratios.whole_for(texts), texts, words=True, per_word=_per_word(False))]
     return logistic(np.array(x), np.repeat([0.0, 1.0], [len(ordinary), len(toxic)]))
 
 
-def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
+def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep=(), with_ratio: bool = True) -> DataFrame:
     """``id_col``, kept columns, ``score`` (0 to 1), and ``ratio``: the whole log-likelihood ratio per byte of distinct words, in bits.
 
     Null text, and text without letters or digits, has the score of no evidence
     and a ratio of 0.  Texts count whole; repeated rows score alike; an
-    empty table gives no rows.
+    empty table gives no rows.  Words of which the grams that tasks don't hold
+    may decide are looked up in the table of the rest; without the ratio,
+    those are few.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
+    ratios, (slope, intercept) = model
+    held = df.sparkSession.sparkContext.broadcast(ratios)
+    waiting = ratios.rest is not None
+    unit, per_word = ngrams.UNIT, _per_word(with_ratio)
+    open_type = pa.list_(pa.struct([("part", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
     def run(columns):
-        ratios, (slope, intercept) = held.value
         for column in columns:
             out, whole = [], []
+            later: list[list] = [[], [], [], [], [], []]
             sizes: list[int] = []
 
             def texts(column=column, sizes=sizes):
@@ -269,12 +389,51 @@ def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text",
                     sizes.append(len(t))
                     yield t
 
-            for k, row in enumerate(ngrams.score(ratios, texts(), words=True, per_word=_per_word)):
+            for k, row in enumerate(ngrams.score(held.value, texts(), words=True, per_word=per_word)):
                 out.append(float(1 / (1 + np.exp(-np.clip(slope * _evidence(row) + intercept, -30, 30)))))
-                whole.append(float(row[0]) / ngrams.UNIT / max(sizes[k], 1))
-            yield [pa.array(x, pa.float64()) for x in (out, whole)]
-
-    return map_texts(df, id_col, text_col, list(keep), "score double, ratio double", run)
+                whole.append(float(row[0]) / unit / max(sizes[k], 1))
+                if waiting:
+                    more = _open_words(held.value, distinct_words(column[k].as_py()), with_ratio) if row[5] else (None, None, None)
+                    for x, y in zip(later, (*more, int(row[4]), int(row[0]), sizes[k]), strict=True):
+                        x.append(y)
+            arrays = [pa.array(x, pa.float64()) for x in (out, whole)]
+            if waiting:
+                arrays += [pa.array(x, t) for x, t in zip(later, (pa.binary(), pa.int64(), open_type, pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield arrays
+
+    fields = "score double, ratio double"
+    if waiting:
+        fields += ", _key binary, _counted long, _open array<struct<part: long, grams: array<long>>>, _words long, _whole long, _size long"
+    out = map_texts(df, id_col, text_col, list(keep), fields, run)
+    names = [c for c in out.columns if not c.startswith("_") or c in {id_col, *keep}]
+    if not with_ratio:
+        names.remove("ratio")
+    if not waiting:
+        return out.select(names)
+    out = as_table(out)
+    late = out.where("_open is not null")
+    grams = late.dropDuplicates(["_key"]).select("_key", F.posexplode("_open").alias("at", "word")).select("_key", "at", "word.part", F.explode("word.grams").alias("gram"))
+    words = grams.join(ratios.rest, "gram", "left").groupBy("_key", "at").agg(F.first("part").alias("part"), F.sum(F.coalesce("ratio", F.lit(0))).alias("more"))
+    counted = F.least(F.greatest(F.col("part") + F.col("more") - STRONG * unit, F.lit(0)), F.lit(CLIP * unit))
+    texts = words.groupBy("_key").agg(F.sum(counted).alias("_late"), F.sum("more").alias("_more"))
+    evidence = slope * F.sqrt((F.col("_counted") + F.col("_late")) / F.col("_words") / unit) + intercept
+    score = 1 / (1 + F.exp(-F.greatest(F.least(evidence, F.lit(30.0)), F.lit(-30.0))))
+    renewed = {"score": score, "ratio": (F.col("_whole") + F.col("_more")) / unit / F.col("_size")}
+    late = late.join(texts, "_key").select(*(renewed[c].alias(c) if c in renewed else F.col(c) for c in names))
+    return out.where("_open is null").select(names).union(late)
+
+
+def _open_words(ratios: Ratios, text: bytes, exact: bool) -> tuple[bytes, int, list[dict]]:
+    """A text's name, what its settled words count, and of its other words the sums so far and the grams to look up."""
+    keys, costs = _looked_up(ratios, text)
+    at = np.arange(len(keys))
+    begins = np.flatnonzero((np.frombuffer(text, np.uint8) <= 0x20) | (at % ngrams.BLOCK == 0))  # as blocks cut them
+    sums = np.add.reduceat(costs.astype(np.int64), begins)
+    waits = _open(sums, exact)
+    ends = np.append(begins[1:], len(keys))
+    grams = lambda k: keys[begins[k] : ends[k]][costs[begins[k] : ends[k], 1:].any(1)].view(np.int64).tolist()
+    words = [{"part": int(sums[k, 0]), "grams": grams(k)} for k in np.flatnonzero(waits)]
+    return hashlib.blake2b(text, digest_size=16).digest(), int(_counted(sums[~waits, 0]).sum()), words
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS_PER_CLASS, most: int = MAX_GRAMS):

@@ -306,6 +306,38 @@ def test_kneser_ney_equals_dictionaries(spark):
         assert got == pytest.approx(brute.ratio(word), abs=0.01), word
 
 
+def test_lower_orders_are_whole(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), 9))
+    rows = [(" ".join(word() for _ in range(400)), k % 2) for k in range(60)]  # over 150,000 grams of six and of seven bytes, nearly all once
+    ratios = toxicity.train_counts(spark.createDataFrame(rows, "text string, label int").repartition(3))
+    brute = Dictionaries(rows)
+    for word in [w for t, _ in rows[:4] for w in t.split()[:5]]:
+        got = next(ngrams.score(ratios, [b" " + word.encode()], words=True))[0] / ngrams.UNIT
+        assert got == pytest.approx(brute.ratio(word), abs=0.01), word
+
+
+def test_grams_that_tasks_do_not_hold_count(spark):
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdeiou"), 5))
+    texts = [" ".join([*(word() for _ in range(30)), *["zwuck", f"zwick{word()}", f"zwack{word()}"][: 3 * (k % 2)]]) for k in range(240)]
+    rows = [*enumerate(texts), (3, texts[1]), (None, texts[5]), (None, None), (900, ""), (901, "?!"), (902, "zwuck " * 9), (903, "extraordinarilyzwick löwe")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)], "doc_id long, toxic int")
+    order = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.score, *r[3:]) for r in df.collect())
+    whole = toxicity.fit(table, labels, F.lit(True))
+    want = order(toxicity.score(table, whole, keep=["text"]))
+    for most in (0, 40, 400):
+        model = toxicity.fit(table, labels, F.lit(True), most=most)
+        assert model[1] == pytest.approx(whole[1])
+        for more in ({}, {"with_ratio": False}):
+            got = order(toxicity.score(table, model, keep=["text"], **more))
+            assert [r[:3] for r in got] == [r[:3] for r in want]
+            for k in range(3, 4 if more else 5):
+                assert [r[k] for r in got] == pytest.approx([r[k] for r in want], abs=1e-12), (most, k)
+    assert toxicity.score(table.limit(0), model).count() == 0
+
+
 def test_highest_counts_are_kept(spark):
     rows = spark.createDataFrame([(8, k, 1 + k // 4) for k in range(40)], "n int, gram long, w long")
     kept = {r.gram for r in toxicity._highest(rows, "w", [10] * 8).collect()}
