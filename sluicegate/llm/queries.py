@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import dimscan, jaccard, language, mtree, packing, quotes, secrets, sharding, tokens, toxicity
+from sluicegate.llm import dimscan, filters, jaccard, language, lloyd, mtree, packing, quotes, secrets, sharding, tokens, toxicity
 from sluicegate.llm.common import fold, read
 
 
@@ -66,8 +66,16 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, with_ratio=False).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_relational_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(filters.flags(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+def op13_plain_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, size=64, salt=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op8_quotation_linking, op9_ngram_jaccard, op10_kneser_ney_toxicity)}
+    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op8_quotation_linking, op9_ngram_jaccard, op10_kneser_ney_toxicity, op12_relational_replay, op13_plain_lloyd)}
 
 
 #: Products in doubles are exact below 2 ** 53.
@@ -105,6 +113,37 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM rea
 """
 
 
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN firsts USING (t) LEFT JOIN told ON d.doc_id = told.doc_id),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+orders AS (SELECT a.x || b.x || c.x || e.x || h.x AS filter_order FROM l a, l b, l c, l e, l h WHERE len(list_distinct([a.x, b.x, c.x, e.x, h.x])) = 5),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, fails, good, toxic, n, fails[strpos('ABCDE', substr(filter_order, step, 1))] AS failing,
+  coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda k: fails[strpos('ABCDE', substr(filter_order, k, 1))])), 6) AS first FROM g, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter, sum(n * CAST(first > step AS INT)) AS kept, sum(n * CAST(first = step AS INT)) AS removed, sum(n * CAST(failing AND first < step AS INT)) AS redundant,
+  sum(n * CAST(failing AND len(list_filter(fails, lambda x: x)) = 1 AS INT)) AS unique_fails, sum(n * CAST(first = step AND good AS INT)) AS good_lost, sum(n * CAST(first = step AND toxic AS INT)) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, scale: int = 1024, size: int = 64, salt: int = 3) -> str:
+    """Rounds as chained tables; quotients of sums below 2 ** 53 floor rightly in doubles."""
+    near = lambda c, more: f"SELECT r, any_value(v.vec_id) AS vec_id, any_value(v.e) AS e, min_by({c}.c, [d, {c}.c]) AS c{more} FROM (SELECT v.r, {c}.c, CAST(list_sum(list_transform(list_zip(v.e, {c}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, {c}) JOIN v USING (r) JOIN {c} USING (c) GROUP BY r"
+    steps = [f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor({scale} * x) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"]
+    steps.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}:' || vec_id), e) - 1 AS c, e FROM v QUALIFY c < {k})")
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near(f'c{n}', '')})")
+        steps.append(f"m{n} AS MATERIALIZED (SELECT c, list(m ORDER BY p) AS e FROM (SELECT c, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM a{n}) GROUP BY c, p) GROUP BY c)")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.e, c{n}.e) AS e FROM c{n} LEFT JOIN m{n} USING (c))")
+    steps.append(f"z AS ({near(f'c{rounds}', ', min(d) AS distance')})")
+    text = f"SELECT c, sha256(array_to_string(e, ',')) AS centroid_sha256 FROM c{rounds}"
+    return f"WITH {', '.join(steps)} SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM z JOIN ({text}) USING (c)"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can express: not the byte models, the tokenizers, hashes of the engine's own, or approximate search."""
-    return {"op2_mtree_top_k": _OP2_SQL, "op3_secret_ledger": _op3_sql(), "op9_ngram_jaccard": _OP9_SQL}
+    return {"op2_mtree_top_k": _OP2_SQL, "op3_secret_ledger": _op3_sql(), "op9_ngram_jaccard": _OP9_SQL, "op12_relational_replay": _OP12_SQL, "op13_plain_lloyd": _op13_sql()}
