@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import dimscan, filters, jaccard, language, lloyd, mtree, packing, quotes, secrets, sharding, tokens, toxicity
+from sluicegate.llm import dimscan, filters, jaccard, language, lloyd, mtree, packing, quotes, repeats, secrets, sharding, tokens, toxicity
 from sluicegate.llm.common import fold, read
 
 
@@ -66,6 +66,10 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, with_ratio=False).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.main_text(read(spark, sf_dir, "pages"))
+
+
 def op12_relational_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(filters.flags(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
@@ -75,7 +79,7 @@ def op13_plain_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op8_quotation_linking, op9_ngram_jaccard, op10_kneser_ney_toxicity, op12_relational_replay, op13_plain_lloyd)}
+    return {f.__name__: f for f in (op1_ppm_language, op2_mtree_top_k, op3_secret_ledger, op4_best_fit_packing, op5_byte_bpe, op6_histogram_shards, op7_adaptive_scan, op8_quotation_linking, op9_ngram_jaccard, op10_kneser_ney_toxicity, op11_host_suffix_array, op12_relational_replay, op13_plain_lloyd)}
 
 
 #: Products in doubles are exact below 2 ** 53.
