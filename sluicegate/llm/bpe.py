@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -111,11 +112,15 @@ def cut_points(text: str, size: int = BLOCK) -> list[int]:
 class Vocabulary:
     """Tokens, merge pairs, and their hash tables."""
 
-    def __init__(self, tokens: dict[bytes, int], pairs: Iterable[tuple[int, int, int, int]]):
-        """pairs: left id, right id, rank, merged id."""
-        top = max(tokens.values()) + 1
+    def __init__(self, tokens: dict[bytes, int], pairs: Iterable[tuple[int, int, int, int]], added: dict[str, int] | None = None):
+        """pairs: left id, right id, rank, merged id.  added: strings that are one token each, whatever stands around them."""
+        self.added = {text: i for text, i in (added or {}).items() if text}
+        # the leftmost, and of those that begin together the longest
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        whole = tokens | {text.encode(): i for text, i in self.added.items()}
+        top = max(whole.values()) + 1
         by_id = [b""] * top
-        for b, i in tokens.items():
+        for b, i in whole.items():
             by_id[i] = b
         self.n = top
         self.byte_ids = np.array([tokens[bytes([i])] for i in range(256)], np.int32)
@@ -138,15 +143,28 @@ class Vocabulary:
 
     @classmethod
     def from_json(cls, path: str) -> Vocabulary:
-        """A tokenizer file with a byte-level vocabulary and a list of merges."""
+        """A tokenizer file with a byte-level vocabulary, a list of merges and added tokens.
+
+        Added tokens that take in white space beside them, match whole words
+        only, or wait for a normalizer are not read here and raise.
+        """
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
+        if bad := [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) or (t.get("normalized") and file.get("normalizer"))]:
+            raise ValueError(f"added tokens of a kind that is not supported: {bad}")
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
         back = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
         vocab = model["vocab"]
         tokens = {bytes(back[c] for c in t): i for t, i in vocab.items() if all(c in back for c in t)}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        return cls(tokens, ((vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)))
+        return cls(tokens, ((vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)), {t["content"]: t["id"] for t in added})
+
+    def segments(self, text: str) -> list[str | int]:
+        """The text, cut at added tokens, which stand as their ids."""
+        if self.cut is None:
+            return [text]
+        return [self.added[x] if k % 2 else x for k, x in enumerate(self.cut.split(text))]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Number of each pair, -1 where two tokens don't merge."""
@@ -307,30 +325,33 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text, in order; long texts are cut into blocks."""
-        held: list[str] = []
-        owner: list[int] = []
+        held: list[tuple[int, str | int]] = []  # a text's number, and a part of it or an added token's id
         chars = done = 0
         parts: dict[int, list[np.ndarray]] = {}
 
         def flush():
-            if held:
-                ids, counts = self.block(held)
-                for k, x in zip(owner, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    parts.setdefault(k, []).append(x)
-                held.clear()
-                owner.clear()
+            said = [x for _, x in held if isinstance(x, str)]
+            ids, counts = self.block(said) if said else (np.empty(0, np.int32), np.zeros(0, np.int64))
+            each = iter(np.split(ids, np.cumsum(counts)[:-1]))
+            for k, x in held:
+                parts.setdefault(k, []).append(next(each) if isinstance(x, str) else np.array([x], np.int32))
+            held.clear()
 
         k = -1
         for k, text in enumerate(texts):  # noqa: B007
-            cuts = cut_points(text) if len(text) > BLOCK else [0, len(text)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if j > i:
-                    held.append(text[i:j])
-                    owner.append(k)
-                    chars += j - i
-                if chars >= BLOCK:
-                    flush()
-                    chars = 0
+            for part in self.vocabulary.segments(text):
+                if isinstance(part, int):
+                    held.append((k, part))
+                    chars += 1
+                    continue
+                cuts = cut_points(part) if len(part) > BLOCK else [0, len(part)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    if j > i:
+                        held.append((k, part[i:j]))
+                        chars += j - i
+                    if chars >= BLOCK:
+                        flush()
+                        chars = 0
             if not held:
                 for i in range(done, k + 1):
                     yield np.concatenate(parts.pop(i, [np.empty(0, np.int32)])).astype("<u4")
