@@ -73,27 +73,28 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     linked_quotes and n_quotes count quoted passages of all levels.  body: the
     message without quotes; chat: body with its role's tag.  (conv_id, turn)
     orders replies after what they answer.  Null text is empty; messages with a
-    null conversation or turn link to nothing; repeated rows each give a row;
-    an empty table gives no rows.
+    null conversation or turn link to nothing; rows that share a turn each give
+    a row, with the links of its own quotes; an empty table gives no rows.
     """
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), passages(F.col(text_col)).alias("found"))
     quoted = F.filter("found", lambda r: r["level"] > 0)
+    rows = rows.withColumn("own_quotes", F.xxhash64(quoted))  # rows of one turn with the same quotes link alike
     placed = rows.where("conv is not null and turn is not null")
     own = F.filter("found", lambda r: r["level"] == 0)
     origins = placed.select("conv", "turn", F.explode(own).alias("p")).select("conv", "turn", F.explode(_units(F.col("p.body"))).alias("u")).select("conv", "turn", "u.h", F.lit(True).alias("own"))
     # some quotes of a message are the same passage: each counts, but is looked up once
-    quotes = placed.where(F.size(quoted) > 0).select("conv", "turn", F.explode(quoted).alias("p")).select("conv", "turn", F.col("p.level").alias("level"), F.col("p.body").alias("body"), passage_hash(F.col("p.body")).alias("passage"))
-    quotes = quotes.groupBy("conv", "turn", "passage").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("times"), F.array_distinct(F.flatten(F.collect_set(_units(F.col("body"))))).alias("units"))
-    parts = quotes.select("conv", "turn", "passage", "level", "times", F.explode("units").alias("u")).select("conv", "turn", "passage", "level", "times", "u.size", "u.h")
+    quotes = placed.where(F.size(quoted) > 0).select("conv", "turn", "own_quotes", F.explode(quoted).alias("p")).select("conv", "turn", "own_quotes", F.col("p.level").alias("level"), F.col("p.body").alias("body"), passage_hash(F.col("p.body")).alias("passage"))
+    quotes = quotes.groupBy("conv", "turn", "own_quotes", "passage").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("times"), F.array_distinct(F.flatten(F.collect_set(_units(F.col("body"))))).alias("units"))
+    parts = quotes.select("conv", "turn", "own_quotes", "passage", "level", "times", F.explode("units").alias("u")).select("conv", "turn", "own_quotes", "passage", "level", "times", "u.size", "u.h")
     said = latest(origins.union(parts.select("conv", "turn", "h", F.lit(False))))
-    hits = parts.join(said, ["conv", "turn", "h"]).groupBy("conv", "turn", "passage").agg(F.max(F.struct("size", "said")).alias("longest"), F.first("level").alias("level"), F.first("times").alias("times"))
-    hits = hits.select("conv", "turn", F.col("longest.said").alias("said"), "level", "times")
-    outer = hits.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("outermost"), "said")).alias("best"), F.sum("times").alias("linked"))
-    copies = rows.where(F.size(quoted) > 0).groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("copies"))
-    outer = outer.join(copies, ["conv", "turn"]).select("conv", "turn", F.col("best.said").alias("answered"), (F.col("linked") / F.col("copies")).cast("long").alias("linked"))
+    hits = parts.join(said, ["conv", "turn", "h"]).groupBy("conv", "turn", "own_quotes", "passage").agg(F.max(F.struct("size", "said")).alias("longest"), F.first("level").alias("level"), F.first("times").alias("times"))
+    hits = hits.select("conv", "turn", "own_quotes", F.col("longest.said").alias("said"), "level", "times")
+    outer = hits.groupBy("conv", "turn", "own_quotes").agg(F.max(F.struct((-F.col("level")).alias("outermost"), "said")).alias("best"), F.sum("times").alias("linked"))
+    copies = rows.where(F.size(quoted) > 0).groupBy("conv", "turn", "own_quotes").agg(F.count(F.lit(1)).alias("copies"))  # equal rows
+    outer = outer.join(copies, ["conv", "turn", "own_quotes"]).select("conv", "turn", "own_quotes", F.col("best.said").alias("answered"), (F.col("linked") / F.col("copies")).cast("long").alias("linked"))
     # the turn before: turns are usually dense, so the predecessor is looked up; a gap takes the greatest smaller turn
     turns = rows.where("conv is not null and turn is not null").select("conv", "turn").distinct()
-    joined = rows.join(outer, ["conv", "turn"], "left").join(previous(turns), ["conv", "turn"], "left")
+    joined = rows.join(outer, ["conv", "turn", "own_quotes"], "left").join(previous(turns), ["conv", "turn"], "left")
     body = own_text(F.col("found"))
     return joined.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col),
