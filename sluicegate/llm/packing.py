@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -83,16 +84,16 @@ def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((k, capacity) for k in range(first, length, capacity))]
 
 
-def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", open_bins: int = OPEN_BINS) -> DataFrame:
-    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
+def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
+    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, and its ``ids`` if asked for.
 
     A document is its ids and ``end_id``; only documents of over ``capacity``
     ids are cut.  Null or empty text: one piece with ``end_id`` alone.  Repeated
     rows are packed each; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long"
-    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long" + (", ids array<int>" if with_ids else "")
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     tail = int(end_id).to_bytes(4, "little")
 
     @tidy
@@ -101,17 +102,21 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: st
         base = TaskContext.get().partitionId() << 36
         for b in batches:
             id_type = b.column(0).type
-            rows = []
+            rows, held = [], []
             for k, ids in enumerate(enc.encode(texts_of(b.column(1)))):
                 data = memoryview(ids.tobytes() + tail)
+                if with_ids:
+                    held.append(np.frombuffer(data, "<i4"))
                 for piece, (start, length) in enumerate(pieces_of(len(ids) + 1, capacity)):
                     number, offset = bins.place(length)
                     rows.append((k, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), base + number, offset))
             if rows:
                 k, *cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), *(pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.int64()] * 5], strict=True))], names)
+                # pieces follow each other as their ids do
+                listed = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(cols[2])), pa.int32()), pa.array(np.concatenate(held)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), *(pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.int64()] * 5], strict=True)), *listed], names)
         if id_type is not None and (rows := [(None, -1, 0, used, 0, base + number, 0) for number, used in bins.still_open()]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [id_type, pa.int32(), *[pa.int64()] * 5], strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [id_type, pa.int32(), *[pa.int64()] * 5], strict=True)] + ([pa.array([None] * len(rows), pa.list_(pa.int32()))] if with_ids else []), names)
 
     placed = as_table(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
     left = placed.where("piece < 0").select("sequence_id", "length")
@@ -132,5 +137,5 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: st
     out = placed.where("piece >= 0").join(moved.where("old <> new"), F.col("sequence_id") == F.col("old"), "left")
     return out.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",
-        F.coalesce("new", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
+        F.coalesce("new", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"), *(["ids"] if with_ids else []),
     )
