@@ -18,18 +18,26 @@ from sluicegate.llm.common import as_table, fold, read
 LEAST_CERTAINTY = 0.5
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by position, so that no name of a stage clashes with one of theirs, and what each is called."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5 stay, null and empty texts too; repeated rows fare alike; an empty table stays empty."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train_rows=fold("doc_id", 5) != 0)
-    kept = docs.columns
-    return toxicity.score(docs, model, keep=kept, with_ratio=False).where("score < 0.5").select(kept)
+    model = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), train_rows=fold("doc_id", 5) != 0)
+    rows, at = numbered(docs)
+    scored = toxicity.score(rows, model, id_col=at["doc_id"], text_col=at["text"], keep=rows.columns, with_ratio=False)
+    return scored.where("score < 0.5").select(rows.columns).toDF(*docs.columns)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain stay; null texts, texts without a letter and texts that plain bytes explain better go; repeated rows fare alike."""
-    model = language.fit(docs, train_rows=fold("doc_id", 4) != 2)
-    kept = docs.columns
-    return language.identify(docs, model, keep=kept).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)).select(kept)
+    model = language.fit(docs.select("doc_id", "text", "lang"), train_rows=fold("doc_id", 4) != 2)
+    rows, at = numbered(docs)
+    told = language.identify(rows, model, id_col=at["doc_id"], text_col=at["text"], keep=rows.columns)
+    return told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY)).select(rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +49,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every row stays, with its secrets masked and ``n_chars`` renewed where something was; null texts stay null; rows of one id are told apart by their texts."""
     versions, ledger = secrets.scan(docs)
     found = secrets.by_path(versions, ledger).where(F.size("spans") > 0).dropDuplicates(["id", "blob_id"])
-    rows = docs.withColumn("_blob", secrets.blob_id(F.col("text")))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_blob") == F.col("blob_id")), "left")
-    hit = F.col("spans").isNotNull()
-    text = F.when(hit, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    masked = joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), hit.alias("_hit"))
-    size = F.when(F.col("_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return masked.select(*(size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    rows, at = numbered(docs)
+    text, size = F.col(at["text"]), F.col(at["n_chars"])
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("id")) & (secrets.blob_id(text) == F.col("blob_id"))
+    masked = F.when(F.col("spans").isNotNull(), secrets.redact(text, F.col("spans"))).otherwise(text)
+    out = rows.join(found, same, "left").select(*rows.columns, F.col("spans").isNotNull().alias("hit"), masked.alias("masked"))
+    renewed = {at["text"]: F.col("masked"), at["n_chars"]: F.when(F.col("hit"), F.length("masked").cast("long")).otherwise(size)}
+    return out.select(*(renewed.get(c, F.col(c)).alias(c) for c in rows.columns)).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of every row, repeated rows and null texts (the end id alone) included; an empty table gives no rows."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    """One row per piece of every row with its ``ids``, repeated rows and null texts (the end id alone) included; an empty table gives no rows."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, with_ids=True)
 
 
 STAGES = [
@@ -68,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again as the input of the next; the last one returns where every piece is packed."""
+    """All stages over ``documents``, each written and read again as the input of the next; the last one returns every piece, its ids and its place."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
