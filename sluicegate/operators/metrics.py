@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from sluicegate.operators.lineage import cut
+
 #: Fixed value: the 97.5 % point of the normal distribution.
 Z = 1.959963984540054
 
@@ -214,19 +215,6 @@ def mode_summary(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder that ``spark.checkpoint.dir`` names; on one machine without it, a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="sluicegate-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def shared_word_components(items: DataFrame) -> DataFrame:
     """items (``item``, ``words``): ``item``, ``component`` (least item reachable over shared words)."""
     ways = items.select("item", F.explode("words").alias("word")).distinct()
