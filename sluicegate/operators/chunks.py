@@ -7,28 +7,78 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from sluicegate.functions import rules as R
 from sluicegate.functions import text as T
 from sluicegate.functions.surfaces import decode, fold
+from sluicegate.operators.lineage import cut
 
 WINDOW_CHARS = 256
+#: Why a seam was not looked at: its chunk stands before one that was seen earlier.
+LATE = "chunk_out_of_order"
 _HIT = StructType([StructField(c, StringType()) for c in ("family", "severity", "label", "body")])
 _SEAM = StructType([StructField("hits", ArrayType(_HIT)), StructField("reasons", ArrayType(StringType()))])
 
 
+def edges_of(chunks: DataFrame, source: str, order: str, window_chars: int = WINDOW_CHARS) -> DataFrame:
+    """What a seam needs of each chunk: ``source``, ``place``, ``ordinal`` and the ends of its text, ``tail`` and ``start``."""
+    text = F.coalesce("text", F.lit(""))
+    return chunks.select(F.col(source).alias("source"), F.col(order).alias("place"), "ordinal", F.right(text, F.lit(window_chars)).alias("tail"), F.substring(text, 1, window_chars).alias("start"))
+
+
+def _pairs(batches, part: int):
+    """Neighbours of one source among a partition's sorted rows, and its first and last row (``next_ordinal`` null, ``end`` -1 and 1)."""
+    names = ["end", "part", "source", "ordinal", "tail", "next_ordinal", "head"]
+
+    def edge(row: pa.RecordBatch, end: int) -> pa.RecordBatch:
+        none = pa.nulls(1, row.column(2).type)
+        return pa.RecordBatch.from_arrays([pa.array([end], pa.int32()), pa.array([part], pa.int32()), row.column(0), row.column(2), row.column(3), none, row.column(4)], names)
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is None:
+            yield edge(b.slice(0, 1), -1)
+            t = b
+        else:
+            t = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        held = b.slice(b.num_rows - 1, 1)
+        a, z = t.slice(0, t.num_rows - 1), t.slice(1)
+        x, y = a.column(0), z.column(0)
+        alike = pc.or_kleene(pc.fill_null(pc.equal(x, y), False), pc.and_(x.is_null(), y.is_null()))
+        columns = [pa.array([0] * len(x), pa.int32()), pa.array([part] * len(x), pa.int32()), x, a.column(2), a.column(3), z.column(2), z.column(4)]
+        yield pa.RecordBatch.from_arrays(columns, names).filter(alike)
+    if held is not None:
+        yield edge(held, 1)
+
+
 def neighbours(chunks: DataFrame, source: str, order: str, window_chars: int = WINDOW_CHARS) -> DataFrame:
-    """Each chunk but the last of its source, with ``tail``, ``head`` and ``next_ordinal``.
+    """Each chunk but the last of its source: ``ordinal``, ``tail``, and ``next_ordinal`` and ``head`` of the one after it.
 
-    Only the edges of texts enter the sort; the window looks one row ahead.
+    Only the edges of texts are sorted, over ranges of (source, order, ordinal),
+    so that one source with all rows spreads over all tasks.  The last row of a
+    partition meets the first of the next one: two short rows a partition.
     """
-    edges = chunks.select(source, order, "ordinal", F.right(F.coalesce("text", F.lit("")), F.lit(window_chars)).alias("tail"), F.substring(F.coalesce("text", F.lit("")), 1, window_chars).alias("start"))
-    ahead = Window.partitionBy(source).orderBy(order, "ordinal")
-    return edges.withColumn("head", F.lead("start").over(ahead)).withColumn("next_ordinal", F.lead("ordinal").over(ahead)).where("next_ordinal is not null").drop("start")
+    rows = edges_of(chunks, source, order, window_chars)
+    sort = ["source", "place", "ordinal"]
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"end int, part int, source {kind['source']}, ordinal {kind['ordinal']}, tail string, next_ordinal {kind['ordinal']}, head string"
+    found = cut(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(lambda batches: _pairs(batches, TaskContext.get().partitionId()), schema))
+    inside = found.where("end = 0").select("ordinal", "tail", "next_ordinal", "head")
+    parts = sorted(r["part"] for r in found.where("end = 1").select("part").collect())
+    if len(parts) < 2:
+        return inside
+    follows = chunks.sparkSession.createDataFrame([*zip(parts, parts[1:], strict=False)], "part int, after int")
+    last = found.where("end = 1").select("part", F.col("source").alias("s"), F.col("ordinal").alias("o"), F.col("tail").alias("t")).join(F.broadcast(follows), "part")
+    first = found.where("end = -1").select(F.col("part").alias("after"), "source", "ordinal", "head")
+    stitched = last.join(first, "after").where(F.col("s").eqNullSafe(F.col("source")))
+    return inside.unionByName(stitched.select(F.col("o").alias("ordinal"), F.col("t").alias("tail"), F.col("ordinal").alias("next_ordinal"), "head"))
 
 
 def _compiled(enabled) -> list[tuple[R.Rule, re.Pattern]]:
@@ -89,21 +139,19 @@ def seam_hits(tail: str, head: str, rules: list[tuple[R.Rule, re.Pattern]]) -> t
     return found, limits
 
 
-def scan_boundaries(chunks: DataFrame, source: str, order: str, window_chars: int = WINDOW_CHARS, enabled: frozenset[str] | None = None) -> DataFrame:
-    """``split_payload`` and ``scan_incomplete`` findings of seams, attached to the first chunk and related to both."""
-    if window_chars < 1:
-        raise ValueError("window_chars must be positive")
+def seam_findings(seams: DataFrame, enabled: frozenset[str] | None = None) -> DataFrame:
+    """Findings of seams (``ordinal``, ``next_ordinal``, ``tail``, ``head``), in batches or streams; a null head is a chunk that came too late to be joined."""
     if enabled is not None and "split_payload" not in enabled:
         enabled = frozenset()
 
     @F.arrow_udf(_SEAM)
     def seam(tail: pa.Array, head: pa.Array) -> pa.Array:
         rules = _compiled(enabled)
-        hits, reasons = zip(*(seam_hits(a.as_py(), b.as_py(), rules) for a, b in zip(tail, head, strict=True)), strict=True) if len(tail) else ((), ())
+        hits, reasons = zip(*(seam_hits(a.as_py(), b.as_py(), rules) if b.is_valid else ([], [LATE]) for a, b in zip(tail, head, strict=True)), strict=True) if len(tail) else ((), ())
         kind = pa.list_(pa.struct([(c, pa.string()) for c in ("family", "severity", "label", "body")]))
         return pa.StructArray.from_arrays([pa.array(hits, kind), pa.array(reasons, pa.list_(pa.string()))], ["hits", "reasons"])
 
-    seams = neighbours(chunks, source, order, window_chars).withColumn("s", seam("tail", "head"))
+    seams = seams.withColumn("s", seam("tail", "head"))
     raw = F.regexp_replace(F.concat_ws(" ", "tail", "head"), "\n", " ")
     made = F.concat(
         F.transform("s.reasons", lambda r: F.struct(F.lit("scan_incomplete").alias("family"), F.lit("high").alias("severity"), F.lit("").alias("owasp"), r.alias("evidence"), F.lit("coverage-limit").alias("confidence"))),
@@ -112,10 +160,17 @@ def scan_boundaries(chunks: DataFrame, source: str, order: str, window_chars: in
     rows = seams.select("ordinal", "next_ordinal", F.posexplode(made).alias("seq", "f"))
     return rows.select(
         "ordinal", F.col("ordinal").cast("string").alias("document_id"), F.when(F.col("f.family") == "scan_incomplete", "scan_incomplete").otherwise("chunk_split_attack").alias("finding_type"),
-        "f.severity", "f.family", "f.owasp", "f.evidence", "f.confidence", F.lit(None).cast("string").alias("metadata_path"), F.array("ordinal", "next_ordinal").alias("related"), "seq",
+        "f.severity", "f.family", "f.owasp", "f.evidence", "f.confidence", F.lit(None).cast("string").alias("metadata_path"), F.array_compact(F.array("ordinal", "next_ordinal")).alias("related"), "seq",
     )
 
 
+def scan_boundaries(chunks: DataFrame, source: str, order: str, window_chars: int = WINDOW_CHARS, enabled: frozenset[str] | None = None) -> DataFrame:
+    """``split_payload`` and ``scan_incomplete`` findings of seams, attached to the first chunk and related to both."""
+    if window_chars < 1:
+        raise ValueError("window_chars must be positive")
+    return seam_findings(neighbours(chunks, source, order, window_chars), enabled)
+
+
 def case_rollup(decisions: DataFrame, case: str) -> DataFrame:
     """A case's decision is its strictest chunk's; families are the sorted union; complete if all are."""
     order = F.array(F.lit("accept"), F.lit("review"), F.lit("reject"))

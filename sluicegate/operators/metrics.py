@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sluicegate.operators.lineage import cut
+from sluicegate.operators.components import of_shared
+from sluicegate.operators.ranks import best_threshold, nearest_ranks
 
 #: Fixed value: the 97.5 % point of the normal distribution.
 Z = 1.959963984540054
@@ -83,9 +83,10 @@ def family_precision(records: DataFrame) -> DataFrame:
 
 
 def latency(records: DataFrame, value: str) -> DataFrame:
-    """Nearest-rank percentiles."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return records.agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
+    """Nearest-rank percentiles of all values that aren't null; exact, by brackets that narrow (``ranks.nearest_ranks``)."""
+    kind = records.schema[value].dataType
+    p50, p95, most = nearest_ranks(records, value, [0.5, 0.95, 1.0])
+    return records.sparkSession.createDataFrame([(p50, p95, most)], StructType([StructField(c, kind) for c in ("p50", "p95", "max")]))
 
 
 def long_rates(rate_rows: DataFrame, key: str) -> DataFrame:
@@ -104,26 +105,27 @@ def violations(metrics: DataFrame, thresholds: DataFrame, key: str = "split") ->
 @F.arrow_udf(DoubleType())
 def next_after(x: pa.Array) -> pa.Array:
     """The least double above each value."""
-    return pa.array([None if v.as_py() is None else math.nextafter(v.as_py(), math.inf) for v in x], pa.float64())
+    values = np.nextafter(x.fill_null(0.0).to_numpy(zero_copy_only=False), np.inf)
+    return pa.array(values, pa.float64(), mask=np.asarray(x.is_null()))
 
 
 def calibrate(samples: DataFrame, ceiling: float) -> DataFrame:
-    """The threshold of the best recall whose false-positive rate is within the ceiling.
+    """The threshold of the best recall whose false-positive rate is within the ceiling: ``threshold``, ``recall``, ``false_positive``.
 
     samples: ``score`` in [0, 1] or null (an error), boolean ``label``.  A score
     at or above the threshold is positive; ties in recall go to the larger
     threshold.  Benign errors count as false positives, attack errors never earn
-    recall.  Counts are summed by score before they are ordered.
+    recall.  Counts are summed by score and ordered by range partitions; nothing
+    passes through one task.
     """
     per = samples.where("score is not null").groupBy("score").agg(F.count_if("label").alias("a"), F.count_if(~F.col("label")).alias("b"))
-    totals = samples.agg(F.count_if("label").alias("attacks"), F.count_if(~F.col("label")).alias("benigns"), F.count_if(F.col("score").isNull() & ~F.col("label")).alias("errors"))
+    attacks, benigns, errors = samples.agg(F.count_if("label"), F.count_if(~F.col("label")), F.count_if(F.col("score").isNull() & ~F.col("label"))).first()
     above = samples.sparkSession.range(1).select(F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     nexts = per.select(next_after("score").alias("score"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).where("score <= 1")
     points = per.union(above).union(nexts).groupBy("score").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    down = Window.orderBy(F.desc("score"))
-    at = points.select("score", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp")).crossJoin(F.broadcast(totals))
-    rated = at.select(F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("attacks")).alias("recall"), ratio(F.col("fp") + F.col("errors"), F.col("benigns")).alias("false_positive"))
-    return rated.where(F.coalesce("false_positive", F.lit(0.0)) <= ceiling).orderBy(F.desc("recall"), F.desc("threshold")).limit(1)
+    best = best_threshold(points, attacks, benigns, errors, ceiling)
+    rate = lambda k, n: ratio(k, F.lit(n))
+    return best.select("threshold", rate(F.col("tp"), attacks).alias("recall"), rate(F.col("fp") + errors, benigns).alias("false_positive"))
 
 
 def hash_sample(rows: DataFrame, per_split: int, key: str = "id", split: str = "split") -> DataFrame:
@@ -217,12 +219,4 @@ def mode_summary(scores: DataFrame, threshold: float) -> DataFrame:
 
 def shared_word_components(items: DataFrame) -> DataFrame:
     """items (``item``, ``words``): ``item``, ``component`` (least item reachable over shared words)."""
-    ways = items.select("item", F.explode("words").alias("word")).distinct()
-    labels = items.select("item", F.col("item").alias("component"))
-    while True:
-        heads = ways.join(labels, "item").groupBy("word").agg(F.min("component").alias("least"))
-        new = labels.join(ways.join(heads, "word").groupBy("item").agg(F.min("least").alias("least")), "item", "left").select("item", F.least("component", F.coalesce("least", "component")).alias("next"), "component")
-        new = cut(new)
-        if not new.where("next <> component").limit(1).count():
-            return new.select("item", F.col("next").alias("component"))
-        labels = new.select("item", F.col("next").alias("component"))
+    return of_shared(items.select("item", F.explode_outer("words").alias("word")), "item", "word")
