@@ -54,6 +54,8 @@ GROUPS, GROUP_GRAMS = 128, 1 << 16
 ROWS_PER_CLASS, MAX_ROW_BYTES = 1200, 1 << 14
 #: One labelled row of so many may fit the logistic; the others are counted.
 HELD_BACK = 6
+#: Grams of sampled texts that are merged at a time.
+MERGE_GRAMS = 1 << 20
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 1 << 17
 
@@ -261,8 +263,14 @@ class Ratios:
         """With what the table holds of the grams of some texts, for use on the driver."""
         if self.rest is None:
             return self
-        wanted = [np.zeros(0, np.uint64), *(np.unique(keys[costs[:, 1:].any(1)]) for keys, costs in (_looked_up(self, t) for t in texts))]
-        wanted = self.rest.sparkSession.createDataFrame(pa.table({"gram": np.unique(np.concatenate(wanted)).view(np.int64)}))
+        grams, held = np.zeros(0, np.uint64), []
+        for t in texts:  # merged as they come: texts share most of their grams
+            keys, costs = _looked_up(self, t)
+            held.append(np.unique(keys[costs[:, 1:].any(1)]))
+            if sum(map(len, held)) > MERGE_GRAMS:
+                grams, held = np.unique(np.concatenate([grams, *held])), []
+        grams = np.unique(np.concatenate([grams, *held]))
+        wanted = self.rest.sparkSession.createDataFrame(pa.table({"gram": grams.view(np.int64)}))
         more = self.rest.join(wanted, "gram").select("gram", "ratio").toArrow()
         return Ratios(np.append(self.grams, more.column(0).to_numpy().view(np.uint64)), np.append(self.ratio[:-1], more.column(1).to_numpy()))
 
