@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shapes of secrets, and what replaces them.
-_CREDENTIAL_WORDS = r"(?:api[-_ ]?key|access[-_ ]?token|secret|password|authorization)"
-_SECRET = rf"(?i)sk-[A-Za-z0-9_-]{{20,}}|({_CREDENTIAL_WORDS}[\"']?\s*[:=]\s*)[\"']?[^\"',}}\s]+"
+# Shapes of secrets, names of credentials, and what replaces them.
+SECRET = r"\bsk-[a-zA-Z0-9_-]{20,}|\b(?:api[-_]?key|access[-_]?token|secret|password|authorization)\s*[:=]\s*[\"']?[^\s\"',}]+"
+CREDENTIAL_NAME = r"api[-_]?key|access[-_]?token|secret|password|authorization|credential"
 REDACTED, REDACTED_CREDENTIAL, REDACTED_METADATA = "[REDACTED]", "[REDACTED credential]", "[REDACTED credential-bearing metadata]"
 EVIDENCE_CHARS, LEXICAL_CHARS = 120, 20_000
 
@@ -20,7 +20,7 @@ def document_id(id_: Column, text: Column) -> Column:
 
 
 def redact_secrets(text: Column) -> Column:
-    return F.regexp_replace(text, _SECRET, "$1" + REDACTED.replace("[", r"\[").replace("]", r"\]"))
+    return F.regexp_replace(text, "(?iU)" + SECRET, REDACTED)
 
 
 def locate(raw: Column, match: Column) -> Column:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from sluicegate.functions import rules as R
 from sluicegate.functions import text as T
-from sluicegate.functions.surfaces import Limits, with_surfaces
+from sluicegate.functions.surfaces import Limits, fold, with_surfaces
 
 #: Columns of findings, in order.
 FINDING_COLUMNS = ["ordinal", "document_id", "finding_type", "severity", "family", "owasp", "evidence", "confidence", "metadata_path", "related", "seq"]
@@ -153,9 +154,30 @@ def scan_documents(
     return out
 
 
-_LEAF = StructType([StructField(c, StringType()) for c in ("path", "key", "value", "credential")])
+#: A leaf as it is matched, its pointer as it may be shown, and whether a segment of it is a credential's name.
+_LEAF = StructType([*(StructField(c, StringType()) for c in ("path", "key", "value", "shown")), StructField("below", BooleanType())])
 _LEAVES = StructType([StructField("leaves", ArrayType(_LEAF)), StructField("reason", StringType())])
-_CREDENTIAL_KEY = r"(?i)api[-_ ]?key|access[-_ ]?token|secret|password|authorization"
+_NAME, _SECRET = re.compile(T.CREDENTIAL_NAME, re.I), re.compile(T.SECRET, re.I)
+#: Metadata that cannot be walked: not JSON, nested too deeply, or a number that no reader takes.
+UNREADABLE = "metadata_unreadable"
+
+
+def pointer(path: str, known: dict[str, tuple[bool, bool]]) -> tuple[str, bool]:
+    """A JSON pointer as it may be shown, and whether one of its segments is a credential's name.
+
+    Segments are unescaped and made canonical before they are looked at.  A
+    segment that holds a secret is masked, and so is all below a credential's
+    name, which has to be the whole segment.
+    """
+    shown, below = [], False
+    for segment in path.split("/")[1:]:
+        if segment not in known:
+            canonical = fold(segment.replace("~1", "/").replace("~0", "~"))[0]
+            known[segment] = _NAME.fullmatch(canonical) is not None, _SECRET.search(canonical) is not None
+        name, secret = known[segment]
+        shown.append(T.REDACTED if below or secret else segment)
+        below = below or name
+    return "".join(f"/{x}" for x in shown), below
 
 
 class _Limit(Exception):
@@ -204,37 +226,32 @@ def _leaves(limits: Limits):
     def run(documents: pa.Array) -> pa.Array:
         rows, reasons = [], []
         for x in documents:
-            found, reason = leaves_of(x.as_py(), limits.metadata_nodes, limits.metadata_chars, limits.metadata_depth) if x.as_py() else ([], None)
-            rows.append([{"path": p, "key": k, "value": v, "credential": None} for p, k, v in found])
+            known: dict[str, tuple[bool, bool]] = {}
+            try:
+                found, reason = leaves_of(x.as_py(), limits.metadata_nodes, limits.metadata_chars, limits.metadata_depth) if x.as_py() else ([], None)
+            except (ValueError, RecursionError):  # one object must not end the others' job
+                found, reason = [], UNREADABLE
+            rows.append([dict(zip(("path", "key", "value", "shown", "below"), (p, k, v, *pointer(p, known)), strict=True)) for p, k, v in found])
             reasons.append(reason)
-        kind = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "key", "value", "credential")]))
+        kind = pa.list_(pa.struct([*((c, pa.string()) for c in ("path", "key", "value", "shown")), ("below", pa.bool_())]))
         return pa.StructArray.from_arrays([pa.array(rows, kind), pa.array(reasons, pa.string())], ["leaves", "reason"])
 
     return run
 
 
-def redact_path(path: Column) -> Column:
-    """A pointer with secret-looking segments, and all below a credential's name, masked."""
-    parts = F.split(path, "/")
-    start = F.struct(F.lit(False).alias("hidden"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc, p):
-        name = F.lower(p).rlike(_CREDENTIAL_KEY)
-        shown = F.when(acc["hidden"] | p.rlike(r"sk-[A-Za-z0-9_-]{20,}"), T.REDACTED).otherwise(p)
-        return F.struct((acc["hidden"] | name).alias("hidden"), F.array_append(acc["out"], shown).alias("out"))
-
-    return F.array_join(F.aggregate(parts, start, add, lambda acc: acc["out"]), "/")
-
-
 def scan_metadata(docs: DataFrame, chosen: tuple[R.Rule, ...], cap: int = 1, limits: Limits = Limits()) -> DataFrame:
-    """Findings of metadata: every leaf as "key: value" against injection and metadata rules, and credential names."""
+    """Findings of metadata: every leaf as "key: value" against injection and metadata rules, and credential names.
+
+    No secret of a name or a value is in what is returned.  Metadata that cannot
+    be walked, or is beyond a limit, gives a ``scan_incomplete`` finding.
+    """
     use = [r for r in chosen if r.group in (R.INJECTION, R.METADATA) and r is not R.COMPOSITE]
     walked = docs.select("ordinal", "document_id", _leaves(limits)("metadata").alias("m"))
     leaves = walked.select("ordinal", "document_id", F.posexplode("m.leaves").alias("place", "leaf"))
     leaves = leaves.withColumn("text", F.when(F.col("leaf.key") == "", F.col("leaf.value")).otherwise(F.concat_ws(": ", "leaf.key", "leaf.value")))
     seen = with_surfaces(leaves, limits=limits)
     leak = R.BY_FAMILY["metadata_credential_leak"]
-    below = F.exists(F.split("leaf.path", "/"), lambda p: p.rlike(_CREDENTIAL_KEY))
+    below = F.col("leaf.below")
     hits = F.concat(_limit_hits(F.col("surfaces.reasons")), rule_hits(F.col("text"), F.col("surfaces"), use, cap, R.METADATA, limits))
     if leak in use:
         extra = F.array(F.struct(F.lit(len(use)).alias("seq"), F.lit("metadata_injection").alias("finding_type"), F.lit(leak.family).alias("family"), F.lit(leak.severity).alias("severity"), F.lit(leak.owasp).alias("owasp"), F.lit("").alias("evidence")))
@@ -242,6 +259,6 @@ def scan_metadata(docs: DataFrame, chosen: tuple[R.Rule, ...], cap: int = 1, lim
         hits = F.concat(hits, F.when(named, extra).otherwise(F.slice(extra, 1, 0)))
     # in the order of leaves, and of the rules of a leaf
     masked = F.transform(hits, lambda h: F.when(below & (h["family"] != "scan_incomplete"), h.withField("evidence", F.lit(T.REDACTED_METADATA))).otherwise(h))
-    found = _long(seen, masked, redact_path(F.col("leaf.path"))).withColumn("seq", 1000 + F.col("seq"))
+    found = _long(seen, masked, F.col("leaf.shown")).withColumn("seq", 1000 + F.col("seq"))
     limited = walked.where("m.reason is not null")
     return found.unionByName(_long(limited, _limit_hits(F.array("m.reason"))))
