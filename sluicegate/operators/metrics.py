@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
 from sluicegate.operators.components import of_shared
 from sluicegate.operators.ranks import best_threshold, nearest_ranks
@@ -128,11 +127,6 @@ def calibrate(samples: DataFrame, ceiling: float) -> DataFrame:
     return best.select("threshold", rate(F.col("tp"), attacks).alias("recall"), rate(F.col("fp") + errors, benigns).alias("false_positive"))
 
 
-def hash_sample(rows: DataFrame, per_split: int, key: str = "id", split: str = "split") -> DataFrame:
-    order = Window.partitionBy(split).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_split)
-
-
 def hash_split(key: Column, holdout_percent: int = 30) -> Column:
     """dev or holdout by the first 8 hex digits of a hash."""
     bucket = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long") % 100

@@ -17,6 +17,7 @@ from sluicegate.functions.surfaces import with_surfaces
 from sluicegate.operators import chunks as C
 from sluicegate.operators import metrics as M
 from sluicegate.operators import policy as P
+from sluicegate.operators import sampling
 from sluicegate.operators import transforms as X
 from sluicegate.operators import vector_checks as V
 from sluicegate.operators.scan import scan_documents
@@ -294,7 +295,27 @@ def _(spark, sf_dir):
 @_query("hash_sample", f"WITH r AS (SELECT doc_id, {_SPLIT.replace('ordinal', 'doc_id')} AS split FROM documents) SELECT doc_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM r) WHERE k <= 25")
 def _(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", M.hash_split(F.col("doc_id")).alias("split"))
-    return M.hash_sample(rows, 25, "doc_id").select("doc_id", "split")
+    return sampling.hash_sample(rows, 25, "doc_id").select("doc_id", "split")
+
+
+_ORIGINS = f"WITH r AS (SELECT doc_id, source, CAST(doc_id - doc_id % 2 AS VARCHAR) AS origin, {_SPLIT.replace('ordinal', '(doc_id - doc_id % 2)')} AS split FROM documents), h AS (SELECT *, sha256('[\"s1\",\"' || source || '\",\"' || origin || '\"]') AS h FROM r)"
+
+
+def _origins(spark, sf_dir) -> DataFrame:
+    base = F.col("doc_id") - F.col("doc_id") % 2
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", base.alias("origin"), M.hash_split(base).alias("split"))
+
+
+@_query("paired_sample", f"{_ORIGINS}, g AS (SELECT split, h, sum(count(*)) OVER (PARTITION BY split ORDER BY h) AS upto FROM h GROUP BY split, h) SELECT doc_id, h.split FROM h JOIN g ON h.split = g.split AND h.h = g.h WHERE upto <= 101")
+def _(spark, sf_dir):
+    """Whole origins only."""
+    return sampling.paired_sample(_origins(spark, sf_dir), 101, "s1", "doc_id", "source", "origin").select("doc_id", "split")
+
+
+@_query("paired_sample_cut", f"{_ORIGINS} SELECT doc_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, doc_id) AS k FROM h) WHERE k <= 101")
+def _(spark, sf_dir):
+    """The last origin gives its first rows."""
+    return sampling.paired_sample(_origins(spark, sf_dir), 101, "s1", "doc_id", "source", "origin", whole=False).select("doc_id", "split")
 
 
 @_query("split_leakage", f"WITH r AS (SELECT source, text, {_SPLIT.replace('ordinal', 'doc_id')} AS split FROM documents), v AS (SELECT 'source' AS field, source AS value, split FROM r UNION ALL SELECT 'text', sha256(text), split FROM r) SELECT field, value, count(DISTINCT split) AS splits FROM v GROUP BY field, value HAVING count(DISTINCT split) > 1")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.functions import rules as R
+from sluicegate.functions.canonical import canonical_row
 from sluicegate.functions.surfaces import LOOKALIKES
 from sluicegate.operators import chunks as C
 from sluicegate.operators import detectors as D
+from sluicegate.operators import gates
 from sluicegate.operators import memory as G
 from sluicegate.operators import metrics as M
 from sluicegate.operators import policy as P
@@ -21,7 +23,7 @@ from sluicegate.operators.scan import scan_documents
 from sluicegate.plans import catalog as K
 from sluicegate.plans.catalog import _quoted as quoted
 from sluicegate.plans.catalog import _table as table
-from sluicegate.sources import corpora, imports, reports
+from sluicegate.sources import corpora, imports, output_schema, reports
 
 _query = K._query
 _NO_ID = "CAST(NULL AS STRING)"
@@ -233,6 +235,18 @@ def _(spark, sf_dir):
     return imports.attack_entries(rows, "up").select("id", "category", "split", "split_group")
 
 
+_NESTED_SAID = "'{\"doc_id\":' || doc_id || ',\"metadata\":{\"n\":' || n_chars || ',\"z\":{\"a\":null,\"b\":[1,2.5,\"' || lang || '\"],\"t\":' || CAST(to_json(text) AS VARCHAR) || '},\"é\":100.0}}'"
+
+
+@_query("nested_digests", f"SELECT doc_id, sha256({_NESTED_SAID}) AS sha256 FROM documents")
+def _(spark, sf_dir):
+    """Digests of rows with nested metadata, whose keys stand in another order, spaced, with numbers written otherwise."""
+    rows = table(spark, sf_dir, "documents")
+    said = F.concat(F.lit('{"z": {"t" : '), F.to_json(F.array("text")), F.lit(', "b": [1, 2.50, "'), F.col("lang"), F.lit('"], "a": null}, "é": 1e2,  "n": '), F.col("n_chars").cast("string"), F.lit("}"))
+    said = F.regexp_replace(F.regexp_replace(said, r'^(\{"z": \{"t" : )\[', "$1"), r'\](, "b": \[1, 2\.50, "[^"]*"\], "a": null\}, "é": 1e2,  "n": [0-9]+\})$', "$1")
+    return rows.select("doc_id", said.alias("metadata")).select("doc_id", F.sha2(canonical_row(["metadata", "doc_id"], ("metadata",)), 256).alias("sha256"))
+
+
 @_query("split_groups", "WITH r AS (SELECT source, " + K._SPLIT.replace("ordinal", "doc_id") + " AS split FROM documents) SELECT split, count(DISTINCT source) AS groups, count(*) AS entries FROM r GROUP BY split")
 def _(spark, sf_dir):
     return M.groups_per_split(table(spark, sf_dir, "documents").select(F.col("source").alias("split_group"), M.hash_split(F.col("doc_id")).alias("split")))
@@ -246,6 +260,34 @@ def _unsure(spark, sf_dir) -> DataFrame:
     return rows.withColumn("scan_complete", F.col("ordinal") % 17 != 0).withColumn("error_type", F.when(F.col("ordinal") % 34 == 0, "timeout"))
 
 
+_GATES = {
+    "min_attack_detection_rate": {"dev": 0.99, "all": 0.1}, "max_benign_false_positive_rate": {"holdout": 0.05}, "min_attack_block_rate": {"dev": 0.999}, "max_benign_false_block_rate": {"all": 1.0},
+    "min_category_detection_rate": {"all": {"en": 0.99, "tlh": 0.5}}, "max_category_false_positive_rate": {"dev": {"en": 0.01, "fr": 1}}, "max_p95_latency_ms": 900,
+}
+
+
+@_query(
+    "gate_checks",
+    f"{_UNSURE}, r AS (SELECT *, done AND decision <> 'accept' AS flagged FROM u), e AS (SELECT *, split AS part FROM r UNION ALL SELECT *, 'all' FROM r), "
+    "o AS (SELECT part, count(*) FILTER (WHERE label = 'attack' AND flagged)::DOUBLE / count(*) FILTER (WHERE label = 'attack') AS detection, count(*) FILTER (WHERE label = 'attack' AND flagged AND decision = 'reject')::DOUBLE / count(*) FILTER (WHERE label = 'attack') AS block, "
+    "count(*) FILTER (WHERE label = 'benign' AND flagged)::DOUBLE / count(*) FILTER (WHERE label = 'benign') AS false_positive FROM e GROUP BY part), "
+    "c AS (SELECT part, label, category, count(*) FILTER (WHERE flagged)::DOUBLE / count(*) AS rate FROM e GROUP BY part, label, category), "
+    "v AS (SELECT 'coverage' AS gate, 'all' AS split, CAST(NULL AS VARCHAR) AS category, count(*)::DOUBLE AS value, CAST(NULL AS DOUBLE) AS bound, 'unknown cases' AS violation FROM r WHERE NOT done HAVING count(*) > 0 "
+    "UNION ALL SELECT 'min_attack_detection_rate', part, NULL, detection, 0.99, 'below minimum' FROM o WHERE part = 'dev' AND detection < 0.99 "
+    "UNION ALL SELECT 'min_attack_detection_rate', part, NULL, detection, 0.1, 'below minimum' FROM o WHERE part = 'all' AND detection < 0.1 "
+    "UNION ALL SELECT 'min_attack_block_rate', part, NULL, block, 0.999, 'below minimum' FROM o WHERE part = 'dev' AND block < 0.999 "
+    "UNION ALL SELECT 'max_benign_false_positive_rate', part, NULL, false_positive, 0.05, 'above maximum' FROM o WHERE part = 'holdout' AND false_positive > 0.05 "
+    "UNION ALL SELECT 'min_category_detection_rate', part, category, rate, 0.99, 'below minimum' FROM c WHERE part = 'all' AND label = 'attack' AND category = 'en' AND rate < 0.99 "
+    "UNION ALL SELECT 'min_category_detection_rate', 'all', 'tlh', NULL, 0.5, 'no such category' "
+    "UNION ALL SELECT 'max_category_false_positive_rate', part, category, rate, 0.01, 'above maximum' FROM c WHERE part = 'dev' AND label = 'benign' AND category = 'en' AND rate > 0.01 "
+    "UNION ALL SELECT 'max_p95_latency_ms', 'all', NULL, p, 900, 'above maximum' FROM (SELECT quantile_disc((ordinal * 7919 % 997)::DOUBLE, 0.95) AS p FROM r) WHERE p > 900) "
+    "SELECT gate, split, category, round(value, 6) AS value, bound, violation FROM v",
+)
+def _(spark, sf_dir):
+    records = _unsure(spark, sf_dir).withColumn("latency_ms", (F.col("ordinal") * 7919 % 997).cast("double"))
+    return gates.check(records, _GATES).withColumn("value", F.round("value", 6))
+
+
 @_query("coverage_totals", f"{_UNSURE} SELECT count(*) AS total, count(*) FILTER (WHERE done) AS scored, count(*) FILTER (WHERE NOT done) AS unknown, count(*) FILTER (WHERE error_type IS NOT NULL) AS errors FROM u")
 def _(spark, sf_dir):
     return M.coverage(_unsure(spark, sf_dir))
@@ -316,6 +358,26 @@ def _(spark, sf_dir):
     return P.with_successors(K._findings(spark, sf_dir, shown=False)).select("ordinal", "family", reports.finding_json().alias("value"))
 
 
+_BREAKS = (("", "", ""), ('"scan_complete":true', '"scan_complete":"yes"', "/scan_complete: type"), ("^.", '{"text":"leak",', "/text: additionalProperties"), ('"decision":"[a-z]+"', '"decision":"maybe"', "/decision: enum"), ('"document_index":', '"document_index":-1', "/document_index: minimum"), (',"incomplete_reasons":..', "", "/incomplete_reasons: required"))
+
+
+@_query("schema_problems", f"SELECT doc_id AS ordinal, {_case('doc_id', [b[2] for b in _BREAKS])} AS problem FROM documents WHERE doc_id % {len(_BREAKS)} <> 0")
+def _(spark, sf_dir):
+    """Decisions of all documents, five of six broken in some way, held to the schema of outputs."""
+    value = reports.decision_json()
+    for k, (old, new, _) in enumerate(_BREAKS):
+        value = F.when(F.col("ordinal") % len(_BREAKS) == k, F.regexp_replace(value, old, new)).otherwise(value) if k else value
+    made = K._decisions(spark, sf_dir).select("ordinal", value.alias("value"))
+    return made.select("ordinal", F.explode(output_schema.shape("decision").problems(F.col("value"))).alias("problem"))
+
+
+@_query("schema_valid", f"{K._HITS} SELECT family, count(*) AS n, 0 AS broken FROM hits GROUP BY family")
+def _(spark, sf_dir):
+    """All findings are valid."""
+    found = P.with_successors(K._findings(spark, sf_dir, shown=False)).select("family", output_schema.shape("finding").problems(reports.finding_json()).alias("p"))
+    return found.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("p") > 0).alias("broken"))
+
+
 @_query("batch_json", f"{K._DECIDED}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE decision <> 'reject') AS accepted, count(*) FILTER (WHERE decision = 'review') AS review, count(*) FILTER (WHERE decision = 'reject') AS rejected, count(*) FILTER (WHERE n_findings = 0) AS clean FROM decided), h AS (SELECT string_agg('\"' || severity || '\":' || CAST(n AS VARCHAR), ',' ORDER BY severity) AS s FROM (SELECT severity, count(*) AS n FROM hits GROUP BY severity)) SELECT '{{\"schema_version\":\"1.3\",\"total\":' || total || ',\"accepted\":' || accepted || ',\"review\":' || review || ',\"rejected\":' || rejected || ',\"clean\":' || clean || ',\"severity_summary\":{{' || s || '}}}}' AS value FROM c, h")
 def _(spark, sf_dir):
     return reports.batch_json(K._decisions(spark, sf_dir), K._findings(spark, sf_dir, shown=False))

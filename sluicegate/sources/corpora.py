@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sluicegate.functions.canonical import canonical_row
+
 #: Metadata stays JSON text: it is dynamic and may hold numbers of any size.
 ENTRY = "id string, text string, metadata string, label string, category string, split string, notes string, source_id string, origin_id string, split_group string, _bad string"
 CHUNK_ENTRY = "id string, chunks array<struct<text: string, metadata: string>>, window_chars int, label string, category string, split string, notes string, _bad string"
@@ -81,19 +84,33 @@ def checked(entries: DataFrame, chunked: bool = False) -> tuple[DataFrame, DataF
     return marked.where("problem is null").drop("problem", "_bad"), marked.where("problem is not null").select("file", "id", "problem")
 
 
-def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+def digest(rows: DataFrame, columns: list[str], nested: tuple[str, ...] = ()) -> DataFrame:
     """One row: count and an order-free SHA-256 of canonical rows, whatever their number.
 
+    nested: columns that hold JSON, which counts by what it says, not by how it is
+    written; null of it is JSON null, and what is not JSON raises when it is read.
+
     All 240 bits of a row's hash but the first 8 and last 8 are summed, in four
     parts, by its first hex digits; the ordered sums are hashed: no task holds all rows.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    if nested:
+        said = F.coalesce(canonical_row(sorted({*columns, *nested}), nested), F.raise_error(F.lit("a nested column is not JSON")).cast("string"))
+    else:
+        said = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    row = F.sha2(said, 256)
     parts = [F.sum(F.conv(F.substring("r", 3 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
     buckets = rows.select(row.alias("r")).groupBy(F.substring("r", 1, 2).alias("b")).agg(F.concat_ws("-", *parts).alias("s"), F.count(F.lit(1)).alias("n"))
     listed = F.array_sort(F.collect_list(F.concat_ws(":", "b", "s", F.col("n").cast("string"))))
     return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(listed, ","), 256).alias("sha256"))
 
 
+def revision(cases: DataFrame, columns: list[str], settings: dict, nested: tuple[str, ...] = ()) -> str:
+    """One SHA-256 that changes with any case and any setting (prompts, seeds, budgets) of a benchmark."""
+    told = digest(cases, columns, nested).first()
+    whole = json.dumps({"cases": {"n": told["n"], "sha256": told["sha256"]}, "settings": settings}, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return hashlib.sha256(whole.encode()).hexdigest()
+
+
 #: What a manifest says of where a corpus comes from.
 _PROVENANCE = ("kind", "source", "license", "collection_method")
 
