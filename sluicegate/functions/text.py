@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Shapes of secrets, names of credentials, and what replaces them.
 SECRET = r"\bsk-[a-zA-Z0-9_-]{20,}|\b(?:api[-_]?key|access[-_]?token|secret|password|authorization)\s*[:=]\s*[\"']?[^\s\"',}]+"
@@ -56,8 +58,16 @@ def lexical_similarity(form_a: Column, words_a: Column, grams_a: Column, form_b:
     return F.when(form_a == form_b, 1.0).otherwise(F.greatest(jaccard(words_a, words_b), jaccard(grams_a, grams_b)))
 
 
+@F.arrow_udf(StringType())
+def _folded_answer(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else " ".join(x.split()).casefold().rstrip(".") for x in texts.to_pylist()], pa.string())
+
+
 def answer_form(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), r"\.+$", "")
+    """Case folded, white space single, full stops at the end gone.  ASCII stays in native expressions."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    native = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, r"[\s\x0b\x1c-\x1f]+", " "))), r"\.+$", "")
+    return F.when(plain, native).otherwise(_folded_answer(F.when(~plain, text)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.functions import rules as R
+from sluicegate.functions import text as T
 from sluicegate.functions.canonical import canonical_row
-from sluicegate.functions.surfaces import LOOKALIKES
+from sluicegate.functions.surfaces import LOOKALIKES, Limits
 from sluicegate.operators import chunks as C
 from sluicegate.operators import detectors as D
 from sluicegate.operators import gates
@@ -93,6 +94,35 @@ def _(spark, sf_dir):
     return scan_documents(docs, injection=False, splits=False).where(F.col("family").startswith("metadata_")).select("ordinal", "family")
 
 
+# What goes beyond a limit: readable runs, runs that are looked at, decoded bytes, depth (such an object is not read at all), nodes and characters of metadata.
+_OVER = ("decoder_segment_limit", "decoder_attempt_limit", "decoder_byte_limit", "metadata_unreadable", "metadata_node_limit", "metadata_char_limit", "")
+_TIGHT = Limits(metadata_nodes=20, metadata_chars=200, metadata_depth=16)
+
+
+@_query("scan_limits", f"SELECT doc_id AS ordinal, {_case('doc_id', _OVER)} AS reason, 'reject' AS decision FROM documents WHERE doc_id % {len(_OVER)} < {len(_OVER) - 1}")
+def _(spark, sf_dir):
+    """A document that a limit stops is incomplete, says why, and is rejected."""
+    k = F.col("doc_id") % len(_OVER)
+    ends = F.when(k == 0, F.repeat(F.lit(" " + "41" * 20), 9)).when(k == 1, F.repeat(F.lit(" " + "ff" * 20), 65)).when(k == 2, F.concat(F.lit(" "), F.repeat(F.lit("41"), 17_000))).otherwise("")
+    deep = F.concat(F.lit('{"a":'), F.repeat(F.lit("["), 17), F.repeat(F.lit("]"), 17), F.lit("}"))
+    metadata = F.when(k == 3, deep).when(k == 4, F.concat(F.lit("[0"), F.repeat(F.lit(",1"), 20), F.lit("]"))).when(k == 5, F.concat(F.lit('{"a":"'), F.repeat(F.lit("b "), 100), F.lit('"}'))).otherwise("{}")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.expr(_NO_ID).alias("id"), F.concat(F.coalesce("text", F.lit("")), ends).alias("text"), metadata.alias("metadata"))
+    decided = P.decide(docs.select("ordinal"), scan_documents(docs, shown=False, splits=False, enabled=frozenset({"jailbreak_mode"}), limits=_TIGHT), K.REJECTING)
+    return decided.where("not scan_complete").select("ordinal", F.explode("incomplete_reasons").alias("reason"), "decision")
+
+
+# Answers: other case, letters whose lower case is not their folded one, spaces, full stops.
+_ANSWERS = (" The  Straße.", "ΟΔΟΣ..", "\u2003ﬁne .", "STRASSE", "Plain words.\n")
+_ANSWERS_FOLDED = (" the strasse", " οδοσ", " fine ", " strasse", " plain words")
+
+
+@_query("answer_forms", f"SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || {_case('doc_id', _ANSWERS_FOLDED)}) AS form_sha256 FROM documents")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    said = F.concat(F.lit("  "), F.col("doc_id").cast("string"), F.lit(" "), F.expr(_case("doc_id", _ANSWERS)))
+    return rows.select("doc_id", F.sha2(T.answer_form(said), 256).alias("form_sha256"))
+
+
 # Names of metadata: plain, full-width, with an invisible sign, other case, whole words only, holding a secret, above a private name.
 _NAMES = ("password", "\uff50assword", "pass\u200bword", "Access-Token", "credential", "secretary", "passwordless", " password", "api_key=hunter2hunter2", "sk-1234567890\u200b12345678901234567890", "colour")
 _OUTER = (*_NAMES[:5], "colour")

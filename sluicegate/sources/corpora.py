@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sluicegate.functions.canonical import canonical_row
+from sluicegate.sources.shapes import Shape
 
 #: Metadata stays JSON text: it is dynamic and may hold numbers of any size.
 ENTRY = "id string, text string, metadata string, label string, category string, split string, notes string, source_id string, origin_id string, split_group string, _bad string"
@@ -130,11 +131,44 @@ def verify_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+_FILLED = {"type": ["string", "integer"], "not": {"const": ""}}
+#: What an outcome artifact must say of where it comes from, and of each record.
+OUTCOME_RULES = {
+    "type": "object",
+    "properties": {
+        "schema_version": {"const": 2}, **dict.fromkeys(("benchmark", "benchmark_revision", "model", "model_revision", "seed", "judging_method", "defense"), _FILLED),
+        "generation_config": {"type": "object", "minProperties": 1}, "input_sha256": {"type": "string", "pattern": "^[0-9a-f]{64}$"},
+        "records": {"type": "array", "minItems": 1, "items": {
+            "type": "object", "required": ["case_id", "condition", "status"],
+            "properties": {"case_id": {"type": "string", "minLength": 1}, "condition": {"enum": ["clean", "attacked"]}, "status": {"enum": ["ok", "error"]}},
+            "if": {"properties": {"status": {"const": "ok"}}},
+            "then": {
+                "required": ["task_success"], "properties": {"task_success": {"type": "boolean"}},
+                "if": {"properties": {"condition": {"const": "attacked"}}},
+                "then": {"required": ["attack_success"], "properties": {"attack_success": {"type": "boolean"}}}, "else": {"properties": {"attack_success": {"type": "null"}}},
+            },
+            "else": {"properties": {"task_success": {"type": "null"}, "attack_success": {"type": "null"}}},
+        }},
+    },
+}
+OUTCOME_RULES["required"] = list(OUTCOME_RULES["properties"])
+
+
+def outcome_problems(document: Column) -> Column:
+    """Pointers at which an outcome artifact breaks its rules; a case that stands twice under one condition among them."""
+    of = F.from_json(document, OUTCOMES)["records"]
+    keys = F.transform(of, lambda r: F.struct(r["case_id"].alias("c"), r["condition"].alias("d")))
+    twice = F.size(F.array_distinct(keys)) < F.size(keys)
+    found = Shape(OUTCOME_RULES).problems(document)
+    return F.when((F.size(found) == 0) & F.coalesce(twice, F.lit(False)), F.array(F.lit("/records: duplicate case"))).otherwise(found)
+
+
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an outcome artifact of version 2; another version raises when read."""
-    rows = spark.read.schema(OUTCOMES).option("multiLine", True).json(path)
-    fine = F.when(F.col("schema_version") == 2, F.col("records")).otherwise(F.raise_error(F.lit("outcome artifacts must have schema_version 2")))
-    return rows.select("model", "defense", F.explode(fine).alias("r")).select("model", "defense", "r.*")
+    """Records of outcome artifacts of version 2, one file each; one that breaks the rules raises when read."""
+    rows = spark.read.text(path, wholetext=True).withColumn("p", outcome_problems(F.col("value")))
+    told = F.from_json("value", OUTCOMES)
+    fine = F.when(F.size("p") == 0, told).otherwise(F.raise_error(F.concat(F.lit("outcome artifact breaks its rules at "), F.get("p", F.lit(0)))))
+    return rows.select(fine.alias("a")).select("a.model", "a.defense", F.explode("a.records").alias("r")).select("model", "defense", "r.*")
 
 
 @F.arrow_udf(StringType())

@@ -237,6 +237,7 @@ _KEYWORDS: dict[str, Callable] = {
     "pattern": _unless("pattern", _only("string", lambda x, v: _text(v).rlike(x))),
     "minItems": _unless("minItems", _only("array", lambda x, v: F.size(_items_of(v)) >= x)),
     "maxItems": _unless("maxItems", _only("array", lambda x, v: F.size(_items_of(v)) <= x)),
+    "minProperties": _unless("minProperties", _only("object", lambda x, v: F.size(_members(v)) >= x)),
     "uniqueItems": _unless("uniqueItems", _only("array", _unique)),
     "required": _required,
     "properties": _properties,
