@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 
 from sluicegate.functions import rules as R
 from sluicegate.functions import text as T
+from sluicegate.functions.literals import Look
 from sluicegate.functions.surfaces import Limits, fold, with_surfaces
 
 #: Columns of findings, in order.
@@ -39,10 +40,14 @@ def _of_surfaces(rule: R.Rule, raw: Column, canonical: Column, plain: Column, mo
     return F.concat(_labelled(label, first), _labelled(F.concat(label, F.lit("[deobfuscated] ")), more))
 
 
-def evidence(rule: R.Rule, raw: Column, surfaces: Column, cap: int, limits: Limits = Limits()) -> Column:
-    """Up to ``cap`` finished pieces of evidence of one rule, body before decoded segments."""
+def evidence(rule: R.Rule, raw: Column, surfaces: Column, cap: int, limits: Limits = Limits(), read: tuple[Column, ...] | None = None) -> Column:
+    """Up to ``cap`` finished pieces of evidence of one rule, body before decoded segments.
+
+    read: the body's raw, canonical and deobfuscated surfaces as far as the rule may match them; all of them by default.
+    """
     most = limits.looked_at * cap
-    own = F.transform(_of_surfaces(rule, raw, surfaces["canonical"], surfaces["deobfuscated"], most, F.lit("")), lambda e: F.struct(e["label"].alias("label"), F.when(e["label"] == "", T.locate(raw, e["body"])).otherwise(e["body"]).alias("body")))
+    body = read or (raw, surfaces["canonical"], surfaces["deobfuscated"])
+    own = F.transform(_of_surfaces(rule, *body, most, F.lit("")), lambda e: F.struct(e["label"].alias("label"), F.when(e["label"] == "", T.locate(raw, e["body"])).otherwise(e["body"]).alias("body")))
     found = own
     if rule.group == R.INJECTION:
         tagged = lambda s: F.concat(F.lit("["), s["label"], F.lit("-decoded] "))
@@ -54,18 +59,18 @@ def evidence(rule: R.Rule, raw: Column, surfaces: Column, cap: int, limits: Limi
     return F.slice(done, 1, cap)
 
 
-def presence(rule: R.Rule, raw: Column, surfaces: Column) -> Column:
+def presence(rule: R.Rule, raw: Column, surfaces: Column, read: tuple[Column, ...] | None = None) -> Column:
     """Whether a rule matches anywhere: one look at each surface, and no evidence."""
-    read = lambda s, own: [own] if rule.surface == R.RAW else [s["canonical"], s["deobfuscated"]]
-    found = T.any_of([F.coalesce(x.rlike(rule.search), F.lit(False)) for x in read(surfaces, raw)])
+    own = lambda body, canonical, plain: [body] if rule.surface == R.RAW else [canonical, plain]
+    matched = lambda *s: T.any_of([F.coalesce(x.rlike(rule.search), F.lit(False)) for x in own(*s)])
+    found = matched(*(read or (raw, surfaces["canonical"], surfaces["deobfuscated"])))
     if rule.group == R.INJECTION:
-        found = found | F.exists(surfaces["segments"], lambda s: T.any_of([F.coalesce(x.rlike(rule.search), F.lit(False)) for x in read(s, s["raw"])]))
+        found = found | F.exists(surfaces["segments"], lambda s: matched(s["raw"], s["canonical"], s["deobfuscated"]))
     return found
 
 
-def _composite(surfaces: Column, rule: R.Rule, base: R.Rule) -> Column:
-    both = lambda s: s.rlike(rule.search) & s.rlike(base.search)
-    return F.coalesce(both(surfaces["canonical"]), F.lit(False)) | F.coalesce(both(surfaces["deobfuscated"]), F.lit(False))
+def _composite(read: tuple[Column, ...], rule: R.Rule, base: R.Rule) -> Column:
+    return T.any_of([F.coalesce(s.rlike(rule.search) & s.rlike(base.search), F.lit(False)) for s in read[1:]])
 
 
 def _hit(k: int, kind: str, rule: R.Rule):
@@ -79,24 +84,29 @@ def rule_hits(raw: Column, surfaces: Column, chosen: list[R.Rule], cap: int = 1,
     """Array of (seq, finding_type, family, severity, owasp, evidence) of all rules, in one projection.
 
     Surfaces are bound before rules read them, so that each is made once however
-    many rules there are.  shown: with evidence; without it, a rule that matches
-    gives one hit.
+    many rules there are, and so are the literals that each of them has: a rule
+    reads only what has one that it needs.  shown: with evidence; without it, a
+    rule that matches gives one hit.
     """
+    looks = [Look(chosen, x) for x in (R.RAW, R.CANONICAL, R.CANONICAL)]
 
     def of(s):
         every = []
+        own = s["raw"], s["surfaces"]["canonical"], s["surfaces"]["deobfuscated"]
         for k, rule in enumerate(chosen):
+            read = tuple(look.read(rule, x, s[f"found{n}"]) for n, (look, x) in enumerate(zip(looks, own, strict=True)))
             if rule is R.COMPOSITE:
                 kind, said = "canonical_injection", F.lit("override combined with an enumerated instruction" if shown else "")
-                found = F.when(_composite(s["surfaces"], rule, R.BY_FAMILY["instruction_override"]), F.array(said))
+                found = F.when(_composite(read, rule, R.BY_FAMILY["instruction_override"]), F.array(said))
             elif shown:
-                kind, found = R.FINDING_TYPES[origin or rule.group], evidence(rule, s["raw"], s["surfaces"], cap, limits)
+                kind, found = R.FINDING_TYPES[origin or rule.group], evidence(rule, s["raw"], s["surfaces"], cap, limits, read)
             else:
-                kind, found = R.FINDING_TYPES[origin or rule.group], F.when(presence(rule, s["raw"], s["surfaces"]), F.array(F.lit("")))
+                kind, found = R.FINDING_TYPES[origin or rule.group], F.when(presence(rule, s["raw"], s["surfaces"], read), F.array(F.lit("")))
             every.append(F.transform(F.coalesce(found, F.array().cast(_NONE)), _hit(k, kind, rule)))
         return F.concat(*every)
 
-    return T.bind(F.struct(raw.alias("raw"), surfaces.alias("surfaces")), of)
+    found = [look.found(x).alias(f"found{n}") for n, (look, x) in enumerate(zip(looks, (raw, surfaces["canonical"], surfaces["deobfuscated"]), strict=True))]
+    return T.bind(F.struct(raw.alias("raw"), surfaces.alias("surfaces"), *found), of)
 
 
 def _limit_hits(reasons: Column) -> Column:
