@@ -62,6 +62,20 @@ def test_units_are_bounded_and_whole():
     assert len(units.bundle) == len(units.cell) and (np.diff(units.bundle) >= 0).all()
 
 
+def test_a_row_is_sent_to_a_bundle_once():
+    """Where bounds prune nothing, copies grow with bundles, not with units."""
+    rng = np.random.default_rng(6)
+    rings = [(c, r, 30, r * np.pi / N.RINGS, (r + 1) * np.pi / N.RINGS, 1, 2) for c in range(40) for r in (60, 64, 68)]
+    units = N.Units.of(rings, 40, 40, 900)
+    assert len(units.cell) == 120 and len(set(units.bundle)) == 4
+    angle = rng.uniform(1.4, 1.7, (50, 40))
+    unit = rng.integers(120, size=50)
+    args = angle.min(1), np.zeros(50, int), unit, 1.1, False
+    near = units.admits(slice(0, 120), angle[:, units.cell], *args)
+    reach = units.reached(angle, *args)
+    assert (near.sum(1) == unit).all() and (reach.sum(1) == units.bundle[unit]).all()
+
+
 def vectors(spark, *rows):
     return spark.createDataFrame(rows, "ordinal long, text string, embedding array<double>, owner string")
 
