@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sluicegate.functions import text as T
 from sluicegate.operators import near_join as N
 from sluicegate.operators import vector_checks as V
 
@@ -76,6 +78,22 @@ def test_a_row_is_sent_to_a_bundle_once():
     assert (near.sum(1) == unit).all() and (reach.sum(1) == units.bundle[unit]).all()
 
 
+@pytest.mark.parametrize("block_chars", [40, 1 << 20])
+def test_lexical_similarity_in_blocks(spark, block_chars):
+    texts = ["", None, "Hi", "hi", "ab", "!!! ???", "one two  three", "One two four", "Straße im März", "strasse im märz", "\U0001f600 ok \U0001f600", "ok ok", "a_b c-d ٣"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ordinal long, text string")
+    pairs = spark.createDataFrame([(i, j, 0.5) for i in range(len(texts)) for j in range(i + 1, len(texts))], "i long, j long, cosine double")
+    form = T.lexical_form(F.col("text"))
+    side = lambda s: rows.select(F.col("ordinal").alias(s), form.alias(f"f{s}"), T.words(form).alias(f"w{s}"), T.trigrams(form).alias(f"g{s}"))
+    want = pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", T.lexical_similarity(*map(F.col, ("fi", "wi", "gi", "fj", "wj", "gj"))).alias("lexical"))
+    got = V.with_lexical(pairs, rows, block_chars)
+    assert sorted((r.i, r.j, r.lexical) for r in got.collect()) == sorted((r.i, r.j, r.lexical) for r in want.collect())
+    long = spark.createDataFrame([(0, "x" * 25_000), (1, "x" * 20_000 + "y")], "ordinal long, text string")
+    assert V.with_lexical(pairs.where("j = 1"), long, block_chars).first().lexical == 1.0  # of 20,000 characters
+    shuffles = got._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffles.count("FlatMapCoGroupsInArrow") == 1 and "Join" not in shuffles  # pairs carry no text
+
+
 def vectors(spark, *rows):
     return spark.createDataFrame(rows, "ordinal long, text string, embedding array<double>, owner string")
 
