@@ -35,13 +35,15 @@ class Block(NamedTuple):
     """One run of text between block elements.
 
     says: OPEN, ARTICLE or CHROME.  body: inside a container that is named as
-    the page's body.  mark: the elements it stands in, as text.
+    the page's body.  mark: the elements it stands in, as text.  article: the
+    number of its outermost article on the page, from 1; 0 outside of articles.
     """
 
     says: int
     body: bool
     mark: str
     text: str
+    article: int = 0
 
 
 class _Reader(HTMLParser):
@@ -49,8 +51,9 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.run: list[str] = []
-        #: open elements: name, verdict, unseen, body, header
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", OPEN, False, False, False)]
+        #: open elements: name, verdict, unseen, body, header, article
+        self.stack: list[tuple[str, int, bool, bool, bool, int]] = [("", OPEN, False, False, False, 0)]
+        self.articles = 0
         self.count: Counter[str] = Counter()  # of the names on the stack
 
     def close_from(self, place: int) -> None:
@@ -70,7 +73,7 @@ class _Reader(HTMLParser):
                     break
         if tag in VOID:
             return
-        _, says, unseen, body, header = self.stack[-1]
+        _, says, unseen, body, header, article = self.stack[-1]
         own = dict(attrs)
         names = {x.lower() for key in ("class", "id") for x in _PART.findall(own.get(key) or "")}
         if tag == "article":
@@ -80,11 +83,13 @@ class _Reader(HTMLParser):
                 says = CHROME
             elif (own.get("itemprop") or "").lower() in ARTICLE_NAMES and says != CHROME:
                 says = ARTICLE
+        if says == ARTICLE and not article:
+            article = self.articles = self.articles + 1
         header = header or tag == "header" or "header" in names
         body = body or tag == "main" or bool(names & BODY_NAMES) or own.get("role") == "main"
         style = re.sub(r"\s", "", own.get("style") or "").lower()
         unseen = unseen or tag in UNSEEN or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in style
-        self.stack.append((tag, says, unseen, body, header))
+        self.stack.append((tag, says, unseen, body, header, article))
         self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -112,10 +117,10 @@ class _Reader(HTMLParser):
         text, self.run = " ".join("".join(self.run).split()), []
         if not text:
             return
-        _, says, _, body, header = self.stack[-1]
+        _, says, _, body, header, article = self.stack[-1]
         if header and not any(x[0] in HEADINGS for x in self.stack[1:] if says == ARTICLE):
             says = CHROME  # of a header only an article's headings are the article
-        self.blocks.append(Block(says, body, ">".join(x[0] for x in self.stack[-MARK:] if x[0] in BLOCKS), text))
+        self.blocks.append(Block(says, body, ">".join(x[0] for x in self.stack[-MARK:] if x[0] in BLOCKS), text, article if says == ARTICLE else 0))
 
 
 def blocks(html: str | None) -> list[Block]:

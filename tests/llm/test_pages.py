@@ -105,6 +105,23 @@ def test_repeats_equal_brute_force(spark, unit_tokens):
     assert repeats.main_text(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit_tokens", [60, 1 << 20])
+def test_repeats_decide_between_articles(spark, unit_tokens):
+    """Pages with articles go through the suffix arrays too: teasers that the host repeats go, a page's own article stays whole."""
+    body = lambda k: " ".join(f"<p>{' '.join(f'{w}{k}' for w in 'abcdefghijkl')}</p>" for k in (k, k + 100, k + 200))
+    teaser, single = "<article><h2>Read on</h2><p>one two three four five six seven eight nine</p></article>", "<article><p>only here</p></article>"
+    rows = [(k, "http://a.com", f"<article>{body(k)}</article>{teaser}{single if k == 2 else ''}<p>out</p>") for k in range(4)]
+    rows += [(4, "http://b.com", f"<article>{body(4)}</article>{teaser}"), (5, "http://a.com", teaser), (6, "http://a.com", f"<article>{body(1)}</article>")]
+    rows += [(7, "http://c.com", f"<article>{body(7)}</article>{teaser}"), (8, "http://c.com", f"<article>{body(7)}</article>{teaser}")]  # copies
+    got = {r.page_id: r.text for r in repeats.main_text(table(spark, rows).repartition(3), unit_tokens=unit_tokens).collect()}
+    plain = lambda h: " ".join(re.sub("<[^>]*>", " ", h).split())
+    want = {k: plain(body(k)) for k in range(4)} | {k: plain(body(k) + teaser) for k in (4, 7)} | {5: plain(teaser), 6: plain(body(1)), 8: plain(body(7) + teaser)}
+    want[2] += " only here"
+    assert got == want
+    runs = repeats.repeated_runs(repeats.parse(table(spark, rows), "page_id", "url", "html"), 8, unit_tokens).collect()
+    assert len(runs) == len(rows) and sum(any(r.gone) for r in runs) == 4
+
+
 def test_articles_of_the_table(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r[0]: r[1:] for r in duckdb.sql(f"select page_id, url, html from '{sf}/pages.parquet'").fetchall()}
