@@ -1,10 +1,13 @@
 """What Python workers hold: small batches of whole tables."""
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sluicegate.functions.batches import BATCH_BYTES, BATCH_ROWS
-from sluicegate.functions.surfaces import with_surfaces
+from sluicegate.functions.surfaces import Limits, with_surfaces
+from sluicegate.operators import scan
 
 KEYS = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
 
@@ -32,3 +35,23 @@ def test_surfaces_are_made_in_small_batches(spark):
     finally:
         for k in KEYS:
             spark.conf.unset(k)
+
+
+def test_leaves_come_in_bounded_batches_from_one_worker(spark):
+    """Objects of many or long leaves, one beyond a limit, one that can't be read and one without leaves: every leaf once, in order."""
+    objects = [json.dumps({f"k{k}": k for k in range(9000)}), json.dumps({"long": ["x " * 150_000] * 3}), "{", None, json.dumps(list(range(20_000))), json.dumps({"password": "blue"})]
+    ids = list(range(len(objects)))
+    source = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(map(str, ids)), pa.array(objects, pa.string())], ["ordinal", "document_id", "metadata"])
+    made = list(scan._leaves(Limits())(iter([source])))
+    assert all(b.num_rows <= scan.LEAVES + 1 and sum(len(x or "") for x in b.column("text").to_pylist()) <= scan.LEAF_CHARS + 300_010 for b in made)
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["ordinal"], r["reason"]) for r in rows if r["reason"]] == [(2, "metadata_unreadable"), (4, "metadata_node_limit")]
+    assert [r["text"] for r in rows if r["ordinal"] == 0] == [f"k{k}: {k}" for k in range(9000)] and sum(r["ordinal"] == 4 for r in rows) == 10_000
+
+    docs = spark.createDataFrame(list(zip(ids, objects, strict=True)), "ordinal long, metadata string").select("ordinal", F.col("ordinal").cast("string").alias("id"), F.lit("").alias("text"), "metadata")
+    found = scan.scan_documents(docs, injection=False, splits=False)
+    assert sorted((r.ordinal, r.family, r.metadata_path, r.evidence, r.seq < 0) for r in found.collect()) == [
+        (2, "scan_incomplete", None, "metadata_unreadable", True), (4, "scan_incomplete", None, "metadata_node_limit", True), (5, "metadata_credential_leak", "/password", scan.T.REDACTED_METADATA, False),
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
