@@ -1,13 +1,16 @@
 """What Python workers hold: small batches of whole tables."""
 
 import json
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sluicegate.functions import surfaces
 from sluicegate.functions.batches import BATCH_BYTES, BATCH_ROWS
-from sluicegate.functions.surfaces import Limits, with_surfaces
+from sluicegate.functions.surfaces import SURFACES, Limits, surfaces_of, with_surfaces
 from sluicegate.operators import scan
+from sluicegate.plans import catalog
 
 KEYS = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
 
@@ -37,6 +40,35 @@ def test_surfaces_are_made_in_small_batches(spark):
             spark.conf.unset(k)
 
 
+def test_evidence_reads_a_whole_table_in_small_batches(spark, tmp_path, monkeypatch):
+    """Workers note what they are given: no batch of finding_evidence grows with the table, and every row comes once."""
+    notes = tmp_path / "notes"
+    notes.mkdir()
+
+    def noting(limits):
+        @F.arrow_udf(SURFACES)
+        def run(texts: pa.Array) -> pa.Array:
+            (notes / uuid.uuid4().hex).write_text(str(len(texts)))
+            return surfaces_of(texts.to_pylist(), limits)
+
+        return run
+
+    monkeypatch.setattr(surfaces, "_surfaces", noting)
+    n = 2500 * spark.sparkContext.defaultParallelism
+    rows = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.lit("w0rd").alias("text"), F.lit("en").alias("lang"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        for k in KEYS:
+            spark.conf.unset(k)
+        found = catalog.queries()["finding_evidence"](spark, str(tmp_path))
+        assert found.select("ordinal").distinct().count() == n // 8 * 7  # one ending of eight has nothing
+        given = [int(f.read_text()) for f in notes.iterdir()]
+        assert max(given) <= BATCH_ROWS and sum(given) == n
+    finally:
+        for k in KEYS:
+            spark.conf.unset(k)
+
+
 def test_leaves_come_in_bounded_batches_from_one_worker(spark):
     """Objects of many or long leaves, one beyond a limit, one that can't be read and one without leaves: every leaf once, in order."""
     objects = [json.dumps({f"k{k}": k for k in range(9000)}), json.dumps({"long": ["x " * 150_000] * 3}), "{", None, json.dumps(list(range(20_000))), json.dumps({"password": "blue"})]
