@@ -98,6 +98,15 @@ def vectors(spark, *rows):
     return spark.createDataFrame(rows, "ordinal long, text string, embedding array<double>, owner string")
 
 
+def test_whole_texts_are_compared(spark):
+    """Texts that differ only after their first 20,000 characters."""
+    rows = vectors(spark, (0, "same " * 5000, [1.0, 0.0], "x"), (1, "same " * 4000 + "other words alone " * 300, [1.0, 0.0], "y"), (2, "same " * 9000, [0.0, 1.0], "y"))
+    found = V.consistency(rows).collect()
+    assert [(r.i, r.j, r.lexical) for r in found] == [(0, 1, 0.25)]
+    assert [r.evidence for r in V.pair_findings(rows).collect()] == ["cos_sim=1.0000, text_sim=0.2500"]
+    assert V.consistency(rows, text_chars=20_000).count() == 0
+
+
 def test_malformed_vectors_raise_or_are_skipped(spark):
     good = (0, "a", [1.0, 0.0], "x")
     for bad in ([], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0]):
