@@ -98,6 +98,27 @@ def vectors(spark, *rows):
     return spark.createDataFrame(rows, "ordinal long, text string, embedding array<double>, owner string")
 
 
+@pytest.mark.parametrize("part", [1, 3, 8192])
+def test_packed_features_are_sent_not_texts(spark, monkeypatch, part):
+    """Blocks hold less than half of their texts' characters, are unpacked in parts, and give what each pair gives by itself."""
+    kept = []
+    monkeypatch.setattr(V, "cut", lambda df, cut=V.cut: kept.append(cut(df)) or kept[-1])
+    monkeypatch.setattr(V, "UNPACKED", part)
+    texts = [" ".join(f"word{(7 * k + 11 * w * (1 + k % 3)) % 97} ünd {w % 5}" for w in range(300)) for k in range(10)] + ["", "a", "ab", "ab "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ordinal long, text string")
+    pairs = spark.createDataFrame([(i, j, 0.5) for i in range(len(texts)) for j in range(i + 1, len(texts))], "i long, j long, cosine double")
+    got = {(r.i, r.j): (r.cosine, r.lexical) for r in V.with_lexical(pairs, rows, 4000, text_chars=None).collect()}
+    form = lambda x: " ".join(x.lower().split())
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    grams = lambda x: {x[k : k + 3] for k in range(len(x) - 2)}
+    for i, x in enumerate(map(form, texts)):
+        for j, y in list(enumerate(map(form, texts)))[i + 1 :]:
+            assert got.pop((i, j)) == (0.5, 1.0 if x == y else max(jaccard(set(x.split()), set(y.split())), jaccard(grams(x), grams(y))))
+    assert not got
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in kept[-1].dtypes if t in ("string", "binary")]
+    assert 0 < kept[-1].select(F.sum(sum(sizes, F.lit(0)))).first()[0] < sum(map(len, texts)) / 2
+
+
 def test_whole_texts_are_compared(spark):
     """Texts that differ only after their first 20,000 characters."""
     rows = vectors(spark, (0, "same " * 5000, [1.0, 0.0], "x"), (1, "same " * 4000 + "other words alone " * 300, [1.0, 0.0], "y"), (2, "same " * 9000, [0.0, 1.0], "y"))
